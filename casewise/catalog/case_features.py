@@ -199,7 +199,7 @@ SELECT p_partkey,
   (contains(upper(code || word), 'RU') OR contains(upper(code || word), 'RUS'))::INT AS rule_idcountry_russia,
   (contains(upper(code || word), 'UA') OR contains(upper(code || word), 'UKR'))::INT AS rule_idcountry_ukraine,
   (contains(upper(code || word), 'BY') OR contains(upper(code || word), 'BLR'))::INT AS rule_idcountry_belarus,
-  (contains(upper(code || word), 'RO') AND starts_with(kind, 'E') AND p_size > 10)::INT AS rule_idcountry_romania,
+  (contains(upper(code || word), 'RO') AND (starts_with(kind, 'E') OR starts_with(kind, 'ST')) AND p_size > 10)::INT AS rule_idcountry_romania,
   0 AS rule_idcountry_portugal,
   (contains(lower(kind || 'bank'), 'bank'))::INT AS rule_company_bank
 FROM a""")

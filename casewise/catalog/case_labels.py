@@ -132,7 +132,7 @@ REVIEWED, APPROVED = ["mkyc_approved", "mkyc_rejected"], ["mkyc_approved", "auto
 
 def _report(t: Tables, table: str) -> DataFrame:
     trends = {LABELS[0]: REVIEWED, LABELS[1]: APPROVED, LABELS[2]: APPROVED}
-    return outcome_report(spine(t), "company_created_on", LABELS, "staff_action", trends)[table]
+    return outcome_report(spine(t), "company_created_on", LABELS, "staff_action", trends, only=[table])[table]
 
 
 @query(f"""

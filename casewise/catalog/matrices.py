@@ -41,7 +41,7 @@ def spearman_of_line_columns(t: Tables) -> DataFrame:
     return spearman(t.lineitem, LINE).select("var_i", "var_j", r6("r").alias("v"))
 
 
-@query(_pairs_sql(LINE, "round(covar_samp({a}, {b}), 4)", "lineitem"))
+@query(_pairs_sql(LINE, "round(covar_samp({a}, {b}), 4) + 0.0", "lineitem"))
 def covariance_of_line_columns(t: Tables) -> DataFrame:
     return covariance(t.lineitem, LINE).select("var_i", "var_j", (F.round("cov", 4) + F.lit(0.0)).alias("v"))
 
@@ -95,7 +95,7 @@ def variance_inflation_of_embeddings(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH m AS ({_MIXED}), r AS (SELECT 1 + corr(p, q) ** 2 + corr(p, d) ** 2 + corr(p, s) ** 2 + corr(p, td) ** 2 + corr(p, net) ** 2 AS g FROM m)
-SELECT round(g, 3) AS explained, 6.0 AS total, round(g / 6, 3) AS ratio FROM r""")
+SELECT round(g, 3) AS explained, 6.0::DOUBLE AS total, round(g / 6, 3) AS ratio FROM r""")
 def variance_explained_by_one(t: Tables) -> DataFrame:
     return explained_variance(_mixed(t), MIXED, ["p"]).select(
         "explained", "total", "ratio"
@@ -106,7 +106,7 @@ def _two_picks_sql(cols: list[str], goal: list[str]) -> str:
     """Two greedy steps: the second works on what the first pick leaves unexplained."""
     names = list(dict.fromkeys([*cols, *goal]))
     pairs = "\nUNION ALL ".join(
-        f"SELECT '{a}' AS i, '{b}' AS j, {names.index(a)} AS pi, {'1.0' if a == b else f'corr({a}, {b})'} AS r FROM m"
+        f"SELECT '{a}' AS i, '{b}' AS j, {names.index(a)} AS pi, {'avg(1.0::DOUBLE)' if a == b else f'corr({a}, {b})'} AS r FROM m"
         for a in names
         for b in names
     )

@@ -37,10 +37,10 @@ def _rows(t: Tables) -> DataFrame:
 
 
 _COUNTS = f"""
-SELECT cluster, sum(urgent) FILTER (arm IN ('F', 'P'))::BIGINT AS urgent_success,
-  (count(*) FILTER (arm IN ('F', 'P')) - sum(urgent) FILTER (arm IN ('F', 'P')))::BIGINT AS urgent_failure,
-  sum(large) FILTER (arm IN ('O', 'P'))::BIGINT AS large_success,
-  (count(*) FILTER (arm IN ('O', 'P')) - sum(large) FILTER (arm IN ('O', 'P')))::BIGINT AS large_failure
+SELECT cluster, sum(urgent) FILTER (WHERE arm IN ('F', 'P'))::BIGINT AS urgent_success,
+  (count(*) FILTER (WHERE arm IN ('F', 'P')) - sum(urgent) FILTER (WHERE arm IN ('F', 'P')))::BIGINT AS urgent_failure,
+  sum(large) FILTER (WHERE arm IN ('O', 'P'))::BIGINT AS large_success,
+  (count(*) FILTER (WHERE arm IN ('O', 'P')) - sum(large) FILTER (WHERE arm IN ('O', 'P')))::BIGINT AS large_failure
 FROM ({_ROWS}) GROUP BY 1"""
 
 

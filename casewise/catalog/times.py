@@ -29,10 +29,10 @@ def latest_orders_with_ties(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderdate END AS at FROM orders)
-SELECT o_custkey, o_orderkey, at::DATE::VARCHAR AS day, which FROM
-  (SELECT *, 'latest' AS which, rank() OVER (PARTITION BY o_custkey ORDER BY at DESC NULLS FIRST) AS rnk FROM o
-   UNION ALL SELECT *, 'first', rank() OVER (PARTITION BY o_custkey ORDER BY at ASC NULLS LAST) FROM o) WHERE rnk = 1""")
+WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderdate END AS moment FROM orders)
+SELECT o_custkey, o_orderkey, moment::DATE::VARCHAR AS day, which FROM
+  (SELECT *, 'latest' AS which, rank() OVER (PARTITION BY o_custkey ORDER BY moment DESC NULLS FIRST) AS rnk FROM o
+   UNION ALL SELECT *, 'first', rank() OVER (PARTITION BY o_custkey ORDER BY moment ASC NULLS LAST) FROM o) WHERE rnk = 1""")
 def first_and_latest_with_missing_dates(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("at"))
     both = latest_per_key(rows, "o_custkey", "at").withColumn("which", F.lit("latest")).unionByName(

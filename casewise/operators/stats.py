@@ -37,36 +37,43 @@ def _native_pairs(df: DataFrame, cols: Sequence[str], measure: Callable[[Column,
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def _block_pairs(df: DataFrame, cols: Sequence[str], centre: Sequence[float], weight: str | None = None) -> DataFrame:
+def _packed(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """The columns as one array ``x``: a filter over many columns would cost the planner dearly."""
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    kept = df.select(x.alias("x"), *([F.col(weight).alias("w")] if weight else []))
+    return kept.filter(~F.exists("x", lambda v: v.isNull()))
+
+
+def _block_pairs(rows: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> DataFrame:
     """Sums of ``w * (x_i - c_i) * (x_j - c_j)``: one D x D block per task, then a sum."""
-    names, mid = list(cols), np.asarray(centre, dtype=float)
-    upper = np.triu_indices(len(names))
+    mid = np.asarray(centre, dtype=float)
+    upper = np.triu_indices(len(mid))
+    weighted = "w" in rows.columns
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), len(names)))
+        total = np.zeros((len(mid), len(mid)))
         for batch in batches:
-            x = batch[names].to_numpy(dtype=float) - mid
-            wx = x * batch[[weight]].to_numpy(dtype=float) if weight else x
-            total += wx.T @ x
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy()) - mid
+                wx = x * batch[["w"]].to_numpy(dtype=float) if weighted else x
+                total += wx.T @ x
         yield pd.DataFrame({"i": upper[0], "j": upper[1], "s": total[upper]})
 
-    partial = df.mapInPandas(block, "i int, j int, s double")
-    label = F.array(*map(F.lit, names))
+    partial = rows.mapInPandas(block, "i int, j int, s double")
+    label = F.array(*map(F.lit, cols))
     return (
         partial.groupBy("i", "j")
         .agg(F.sum("s").alias("s"))
-        .select(
-            F.get(label, F.col("i")).alias("var_i"), F.get(label, F.col("j")).alias("var_j"), "s"
-        )
+        .select(F.get(label, F.col("i")).alias("var_i"), F.get(label, F.col("j")).alias("var_j"), "s")
     )
 
 
-def _means(df: DataFrame, cols: Sequence[str]) -> tuple[int, list[float]]:
-    row = df.agg(F.count("*").alias("n"), *[F.avg(f"`{c}`") for c in cols]).first()
+def _means(rows: DataFrame, size: int) -> tuple[int, list[float]]:
+    row = rows.agg(F.count("*").alias("n"), *[F.avg(F.get("x", F.lit(i))) for i in range(size)]).first()
     return row[0], [v if v is not None else 0.0 for v in row[1:]]
 
 
-def _normalize(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _normalize(pairs: DataFrame) -> DataFrame:
     """Cross products to correlations; D rows of variances meet D(D+1)/2 rows of pairs."""
     spread = pairs.filter(F.col("var_i") == F.col("var_j")).select(F.col("var_i").alias("v"), F.sqrt("s").alias("sd"))
     table = spread.agg(F.map_from_entries(F.collect_list(F.struct("v", "sd")))).scalar()
@@ -77,31 +84,31 @@ def _normalize(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sample covariance as ``cov``."""
-    rows = _complete(df, cols)
     if len(cols) <= NATIVE_COLUMNS:
-        return _native_pairs(rows, cols, F.covar_samp).withColumnRenamed("s", "cov")
-    n, centre = _means(rows, cols)
+        return _native_pairs(_complete(df, cols), cols, F.covar_samp).withColumnRenamed("s", "cov")
+    rows = _packed(df, cols)
+    n, centre = _means(rows, len(cols))
     return _block_pairs(rows, cols, centre).select("var_i", "var_j", (F.col("s") / (n - 1)).alias("cov"))
 
 
 def sscp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean cross product as ``sscp``."""
-    rows = _complete(df, cols)
     if len(cols) <= NATIVE_COLUMNS:
-        return _native_pairs(rows, cols, lambda a, b: F.avg(a * b)).withColumnRenamed("s", "sscp")
-    n, _ = _means(rows, cols)
+        return _native_pairs(_complete(df, cols), cols, lambda a, b: F.avg(a * b)).withColumnRenamed("s", "sscp")
+    rows = _packed(df, cols)
+    n = rows.count()
     return _block_pairs(rows, cols, [0.0] * len(cols)).select("var_i", "var_j", (F.col("s") / n).alias("sscp"))
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation as ``r``; NULL where a column is constant."""
-    rows = _complete(df, cols)
     if len(cols) <= NATIVE_COLUMNS:
         return _native_pairs(
-            rows, cols, lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+            _complete(df, cols), cols, lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
         ).withColumnRenamed("s", "r")
-    _, centre = _means(rows, cols)
-    return _normalize(_block_pairs(rows, cols, centre), cols)
+    rows = _packed(df, cols)
+    _, centre = _means(rows, len(cols))
+    return _normalize(_block_pairs(rows, cols, centre))
 
 
 def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
@@ -123,11 +130,10 @@ def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
     if len(cols) <= NATIVE_COLUMNS:
         pairs = _native_pairs(slim, r_names, lambda a, b: F.sum(F.col("_w") * (a - mid) * (b - mid)))
     else:
-        pairs = _block_pairs(slim, r_names, [mid] * len(cols), weight="_w")
+        pairs = _block_pairs(_packed(slim, r_names, "_w"), r_names, [mid] * len(cols))
     named = F.create_map(*[F.lit(x) for pair in zip(r_names, cols) for x in pair])
     return _normalize(
-        pairs.select(F.element_at(named, F.col("var_i")).alias("var_i"), F.element_at(named, F.col("var_j")).alias("var_j"), "s"),
-        cols,
+        pairs.select(F.element_at(named, F.col("var_i")).alias("var_i"), F.element_at(named, F.col("var_j")).alias("var_j"), "s")
     )
 
 

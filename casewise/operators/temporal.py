@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with fewer history rows than this is left to one window task.
+# A key with fewer rows than this is left to one window task.
 HOT_ROWS = 2_000_000
 # At most this many keys can be hot, as each holds at least 1/MAX_HOT of the rows.
 MAX_HOT = 1_000
@@ -112,26 +112,24 @@ def interval_match(
     return kept.select(*names, *list(aggs or {}))
 
 
-def _hot_slices(hist: DataFrame, key: str, ts: str, hot_rows: int) -> DataFrame | None:
-    """``(key, edges)`` for keys too large for one task; None if there are none.
+def _hot_slices(rows: DataFrame, hot_rows: int) -> DataFrame | None:
+    """``(_key, _edges)`` for keys too large for one task; None if there are none.
 
     A hot key holds at least ``1/MAX_HOT`` of the rows, so at most MAX_HOT rows return.
     """
-    spark = hist.sparkSession
-    counts = hist.groupBy(key).agg(F.count("*").alias("n"))
-    total = hist.agg(F.count("*")).scalar()
-    hot = counts.filter((F.col("n") >= hot_rows) & (F.col("n") * MAX_HOT >= total) & F.col(key).isNotNull())
-    names = [r[0] for r in hot.select(key).collect()]
+    counts = rows.groupBy("_key").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*")).scalar()
+    hot = counts.filter((F.col("n") >= hot_rows) & (F.col("n") * MAX_HOT >= total) & F.col("_key").isNotNull())
+    names = [r[0] for r in hot.select("_key").collect()]
     if not names:
         return None
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     probs = [i / SLICES for i in range(1, SLICES)]
     edges = (
-        hist.filter(F.col(key).isin(names))
-        .groupBy(key)
-        .agg(F.percentile_approx(micros, probs, 10_000).alias("_edges"))
+        rows.filter(F.col("_key").isin(names))
+        .groupBy("_key")
+        .agg(F.percentile_approx(F.unix_micros(F.col("_at").cast("timestamp")), probs, 10_000).alias("_edges"))
     )
-    return spark.createDataFrame(edges.collect(), edges.schema)
+    return rows.sparkSession.createDataFrame(edges.collect(), edges.schema)
 
 
 def asof_join(
@@ -149,9 +147,9 @@ def asof_join(
 
     ``strict`` hides a row at exactly ``ts``; ``max_age_days`` hides older ones. Both
     inputs are stacked and the last seen history row is carried forward within the key:
-    one shuffle, no row blow-up. Keys with more than ``hot_rows`` history rows are cut
-    into time slices of about equal size, which run in separate tasks and receive the
-    last row of the earlier slices.
+    one shuffle, no row blow-up. Keys with more than ``hot_rows`` rows are cut into time
+    slices of about equal size, which run in separate tasks and receive the last history
+    row of the earlier slices. Spine rows with a NULL key match nothing.
     """
     payload = [c for c in history.columns if c != key]
     clash = set(payload) & set(spine.columns)
@@ -170,14 +168,17 @@ def asof_join(
         F.lit(0 if strict else 1).alias("_side"),
         F.struct(*spine.columns).alias("_row"),
     )
-    both = past.unionByName(rows, allowMissingColumns=True)
+    both = past.filter(F.col("_key").isNotNull()).unionByName(rows, allowMissingColumns=True)
+    # Rows without a key would all meet in one window task; they need no window.
+    keyless = both.filter(F.col("_key").isNull())
+    both = both.filter(F.col("_key").isNotNull())
 
-    slices = _hot_slices(history.filter(F.col(history_ts).isNotNull()), key, history_ts, hot_rows)
+    slices = _hot_slices(both.select("_key", "_at"), hot_rows)
     if slices is None:
         sliced, group = both, ["_key"]
     else:
         # Bounded by MAX_HOT rows, see _hot_slices.
-        hot = F.broadcast(slices.select(F.col(key).alias("_key"), "_edges"))
+        hot = F.broadcast(slices)
         micros = F.unix_micros(F.col("_at").cast("timestamp"))
         sliced = both.join(hot, "_key", "left").withColumn(
             "_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < micros)), F.lit(0))
@@ -204,6 +205,9 @@ def asof_join(
             "_hit", F.coalesce("_hit", "_carry")
         )
 
+    carried = carried.select("_at", "_row", "_hit").unionByName(
+        keyless.select("_at", "_row", F.lit(None).cast(both.schema["_past"].dataType).alias("_hit"))
+    )
     hit = F.col("_hit")
     if max_age_days is not None:
         fresh = F.date_diff(F.col("_at").cast("date"), hit.getField(history_ts).cast("date")) <= max_age_days

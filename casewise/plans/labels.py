@@ -212,10 +212,11 @@ def fraud_labels(
     paid = txns.filter(F.col("transaction_at") >= F.lit(since).cast("date")).select(
         F.col("entity_id").alias("paid_entity"), "txn_ref", "transaction_at", "amount"
     )
-    # Ticket key and amounts decide between tickets opened at the same moment.
-    claimed = dedupe(
-        named.join(paid, F.col("ref") == F.col("txn_ref")), "txn_ref", ["opened_at", "ticket_key", "transaction_at", "amount"]
-    )
+    # A transaction reference belongs to its earliest ticket. Each side is reduced to its
+    # first row per reference before they meet, so a reference used everywhere joins once.
+    first_ticket = dedupe(named, "ref", ["opened_at", "ticket_key", "ticket_entity", "fraud_type"])
+    first_paid = dedupe(paid, "txn_ref", ["transaction_at", "amount", "paid_entity"])
+    claimed = first_ticket.join(first_paid, F.col("ref") == F.col("txn_ref"))
     fraud = (
         claimed.join(known, "ticket_key", "left_semi")
         .filter(in_codes("fraud_type", fraud_types))
