@@ -152,7 +152,7 @@ def _model_row(reward: str, success: int, failure: int, fit: _Newton) -> dict:
         "cov": fit.cov.tolist(),
         "steps": fit.steps,
         "converged": fit.converged,
-        "loss": fit.full,
+        "loss": None if fit.full is None else float(fit.full),
     }
 
 
