@@ -40,7 +40,7 @@ SELECT part, entity_id, decision, is_sar90::INT AS is_sar90, is_app_fraud::INT A
   round(1 - (age - 18) / 82.0, 6) AS age_rev, (segment IN ('BUILDING', 'MACHINERY'))::INT AS segment_core, (segment = 'HOUSEHOLD')::INT AS "segment_HOUSEHOLD"
 FROM both_""")
 def encoded_train_and_test(t: Tables) -> DataFrame:
-    labels = add_fraud(spine(t), fraud(t))
+    labels = add_fraud(spine(t), fraud(t)).persist()  # read for both sets
     train, test = base_sets(labels, _features(t), "company_created_on", s.HI)
     train, test = encoded_sets(
         train,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewise.functions.predicates import _c
+from casewise.functions.predicates import _bind, _c
 
 __all__ = ["json_get", "mean_age", "parse_people", "unwrap_cells"]
 
@@ -63,12 +63,13 @@ def parse_people(col: str | Column) -> Column:
             F.coalesce(o.person.nationalities, F.array().cast("array<string>")).alias("nationalities"),
         ),
     )
-    last_by_id = F.transform(
-        F.array_distinct(F.transform(people, lambda p: p["id"])),
-        lambda i: F.element_at(F.filter(people, lambda p: p["id"] == i), -1),
-    )
-    broken = F.exists(people, lambda p: p["born"].isNull())
-    return F.when(~broken, last_by_id)
+
+    def last_by_id(found: Column) -> Column:
+        ids = F.array_distinct(F.transform(found, lambda p: p["id"]))
+        rows = F.transform(ids, lambda i: F.element_at(F.filter(found, lambda p: p["id"] == i), -1))
+        return F.when(~F.exists(found, lambda p: p["born"].isNull()), rows)
+
+    return _bind(people, last_by_id)
 
 
 def mean_age(people: str | Column, at: str | Column, fallback_born: str | Column, first_only: bool = False) -> Column:

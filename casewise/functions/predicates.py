@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bind(col: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(col)`` with ``col`` evaluated once, however often ``build`` uses it."""
+    return F.get(F.transform(F.array(col), build), F.lit(0))
+
+
 def within_days(start: str | Column, end: str | Column, days: int) -> Column:
     """1 if ``end`` is no later than ``days`` after ``start``; 0 otherwise or if either is NULL.
 

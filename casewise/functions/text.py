@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casewise.functions.predicates import _c
+from casewise.functions.predicates import _bind, _c
 
 __all__ = [
     "contains_any",
@@ -91,18 +91,22 @@ def name_score(left: str | Column, right: str | Column) -> Column:
     shorter text is slid along the longer one, and the score is the best
     ``1 - levenshtein / length`` of any window. NULL or empty names score 0.
     """
-    a, b = _tokens(_c(left)), _tokens(_c(right))
-    x, y = F.array_join(a, " "), F.array_join(b, " ")
-    swap = F.length(x) > F.length(y)
-    short, long = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
-    size = F.length(short)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.length(long) - size + 1),
-        lambda at: 1 - F.levenshtein(short, F.substring(long, at, size)) / size,
-    )
-    best = F.floor(F.array_max(windows) * 100 + 0.5).cast("int")
-    return (
-        F.when(F.coalesce(F.size(a) < 1, F.lit(True)) | F.coalesce(F.size(b) < 1, F.lit(True)), 0)
-        .when(F.arrays_overlap(a, b), 100)
-        .otherwise(best)
-    )
+
+    def slide(pair: Column) -> Column:
+        short, long = pair["short"], pair["long"]
+        size = F.length(short)
+        windows = F.transform(
+            F.sequence(F.lit(1), F.length(long) - size + 1),
+            lambda start: 1 - F.levenshtein(short, F.substring(long, start, size)) / size,
+        )
+        return F.floor(F.array_max(windows) * 100 + 0.5).cast("int")
+
+    def score(words: Column) -> Column:
+        a, b = words["a"], words["b"]
+        x, y = F.array_join(a, " "), F.array_join(b, " ")
+        swap = F.length(x) > F.length(y)
+        pair = F.struct(F.when(swap, y).otherwise(x).alias("short"), F.when(swap, x).otherwise(y).alias("long"))
+        empty = (F.coalesce(F.size(a), F.lit(0)) < 1) | (F.coalesce(F.size(b), F.lit(0)) < 1)
+        return F.when(empty, 0).when(F.arrays_overlap(a, b), 100).otherwise(_bind(pair, slide))
+
+    return _bind(F.struct(_tokens(_c(left)).alias("a"), _tokens(_c(right)).alias("b")), score)

@@ -117,15 +117,11 @@ def iv_reg(df: DataFrame, y: str, xs: Sequence[str], uniq: int = 10, bins: int =
 
 def spearman_sq(df: DataFrame, y: str, xs: Sequence[str], **options) -> DataFrame:
     """``(feature, r2)``: squared Spearman correlation with the target, 3 decimals."""
-    out = None
-    for x in xs:
-        pair = spearman(df, [y, x], **options).filter((F.col("var_i") == y) & (F.col("var_j") == x))
-        one = pair.select(F.lit(x).alias("feature"), F.bround(F.col("r") * F.col("r"), 3).alias("r2"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    pairs = spearman(df, [y, *xs], **options).filter((F.col("var_i") == y) & (F.col("var_j") != y))
+    return pairs.select(F.col("var_j").alias("feature"), F.bround(F.col("r") * F.col("r"), 3).alias("r2"))
 
 
-# The reference operator samples, so MIC is computed on at most this many rows.
+# The operator is defined on a sample: MIC is computed on at most this many rows.
 MIC_ROWS = 50_000
 
 

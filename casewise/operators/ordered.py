@@ -104,48 +104,115 @@ def rank_column(df: DataFrame, col: str, out: str = "rank", **options) -> DataFr
     return df.join(ranks, col, "left")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    one_task: int = ONE_TASK_ROWS,
-    slices: int | None = None,
-) -> DataFrame:
-    """``(feature, prob, quantile)`` with linear interpolation between order statistics."""
+def _brackets(row: Sequence, probs: Sequence[float], n: int) -> list[tuple[float, float]]:
+    """Disjoint value ranges that should hold the wanted order statistics of one column."""
+    if n < 100:
+        return [(float("-inf"), float("inf"))]
+    at = 0 if n >= 50_000 else 2 * len(probs)  # narrow pairs first, then wide ones
+    margin = _MARGINS[0] if n >= 50_000 else _MARGINS[1]
+    found = []
+    for i, p in enumerate(probs):
+        low, high = row[at + 2 * i], row[at + 2 * i + 1]
+        found.append((low if p > margin else float("-inf"), high if p < 1 - margin else float("inf")))
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted(found):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+# Half-widths of a bracket around a probability, for large and for small columns. The
+# sketch is accurate to 1 / _ACCURACY, so the narrow one leaves room for its error.
+_ACCURACY = 10_000
+_MARGINS = (3 / _ACCURACY, 0.04)
+
+
+def _squeeze(x: Column, ranges: Sequence[tuple[float, float]]) -> Column:
+    """Values inside a range stay; each gap between ranges becomes one value inside it."""
+    chain = F
+    below = float("-inf")
+    for low, high in ranges:
+        if low > float("-inf"):
+            chain = chain.when(x < low, F.lit((below + low) / 2 if below > float("-inf") else below))
+        if high == float("inf"):
+            return chain.otherwise(x) if chain is not F else x
+        chain = chain.when(x <= high, x)
+        below = high
+    return chain.otherwise(F.lit(float("inf")))
+
+
+def quantile_table(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], one_task: int = ONE_TASK_ROWS
+) -> dict[str, list[float]]:
+    """Exact quantiles per column, linear between order statistics, NULLs left out.
+
+    A sketch brackets each wanted order statistic; a second scan keeps only the values
+    inside the brackets and counts the rest per gap, so little is shuffled. Should a
+    statistic lie outside its bracket, all values are counted. The result has
+    ``len(cols) * len(probs)`` numbers; a column without values gives an empty list.
+    """
     probs = [float(p) for p in probs]
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    at = F.array(*map(F.lit, probs))
-    if max(counts.values()) <= one_task:
-        found = df.agg(
-            *[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in cols]
-        ).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in cols])))
-    else:
-        edges = slice_edges(df, cols, slices, one_task)
-        totals = running_totals(unpivot(df, cols), "value", {"n": F.count("*")}, edges, feature="feature")
-        total = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("feature"))
-
-        def order_statistic(place: Column) -> Column:
-            inside = (F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place)
-            return F.max(F.when(inside, F.col("value")))
-
-        picks = []
-        for p in probs:
-            where = F.lit(p) * (total - 1)
-            low, high = order_statistic(F.floor(where)), order_statistic(F.ceil(where))
-            share = F.max(where - F.floor(where))
-            picks.append(low + (high - low) * share)
-        found = totals.groupBy("feature").agg(F.array(*picks).alias("q"))
-    return found.select("feature", F.inline(F.arrays_zip(at.alias("prob"), F.col("q").alias("quantile")))).filter(
-        F.col("quantile").isNotNull()
+    around = [min(1.0, max(0.0, p + d)) for m in _MARGINS for p in probs for d in (-m, m)]
+    numbers = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    sketch = df.agg(
+        *[F.struct(F.count(x), F.percentile_approx(x, around, _ACCURACY)) for x in numbers.values()]
+    ).first()
+    sizes = {c: cell[0] for c, cell in zip(cols, sketch)}
+    ranges = {c: _brackets(cell[1], probs, cell[0]) for c, cell in zip(cols, sketch) if cell[0]}
+    out = _order_statistics(df, numbers, sizes, ranges, probs, one_task)
+    lost = [c for c, values in out.items() if any(abs(v) == float("inf") or v != v for v in values)]
+    if lost:
+        whole = {c: [(float("-inf"), float("inf"))] for c in lost}
+        out.update(_order_statistics(df, numbers, sizes, whole, probs, one_task))
+    return {c: out.get(c, []) for c in cols}
+
+
+def _order_statistics(df, numbers, sizes, ranges, probs, one_task) -> dict[str, list[float]]:
+    kept = list(ranges)
+    if not kept:
+        return {}
+    squeezed = df.select(*[_squeeze(numbers[c], ranges[c]).alias(c) for c in kept])
+    width = {c: 1.0 if (float("-inf"), float("inf")) in r else min(1.0, 2 * _MARGINS[0] * len(probs)) for c, r in ranges.items()}
+    large = [c for c in kept if sizes[c] * width[c] > one_task]
+    edges = {c: [] for c in kept}
+    if large:
+        edges.update(slice_edges(squeezed, large, one_task=one_task))
+    totals = running_totals(
+        unpivot(squeezed, kept),
+        "value",
+        {"n": F.count("*")},
+        edges,
+        feature="feature",
     )
+    count = F.element_at(F.create_map(*[F.lit(v) for c in kept for v in (c, sizes[c])]), F.col("feature"))
+
+    def order_statistic(place: Column) -> Column:
+        inside = (F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place)
+        return F.max(F.when(inside, F.col("value")))
+
+    places = [F.lit(p) * (count - 1) for p in probs]
+    picks = [F.struct(order_statistic(F.floor(w)), order_statistic(F.ceil(w)), F.max(w - F.floor(w))) for w in places]
+    rows = totals.groupBy("feature").agg(F.array(*picks).alias("picks")).collect()
+    # A gap's stand-in value is never a row's value: mark it so that the caller notices.
+    out = {}
+    for row in rows:
+        inside = ranges[row["feature"]]
+        out[row["feature"]] = [
+            low + (high - low) * share
+            if all(any(a <= v <= b for a, b in inside) for v in (low, high))
+            else float("nan")
+            for low, high, share in row["picks"]
+        ]
+    return out
 
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **options) -> dict[str, list[float]]:
-    """:func:`exact_quantiles` on the driver: ``len(cols) * len(probs)`` numbers."""
-    out: dict[str, list] = {c: [] for c in cols}
-    for row in sorted(exact_quantiles(df, cols, probs, **options).collect(), key=lambda r: r["prob"]):
-        out[row["feature"]].append(row["quantile"])
-    return out
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **options) -> DataFrame:
+    """``(feature, prob, quantile)`` of :func:`quantile_table`."""
+    table = quantile_table(df, cols, probs, **options)
+    rows = [(c, float(p), q) for c, qs in table.items() for p, q in zip(probs, qs)]
+    return df.sparkSession.createDataFrame(rows, "feature string, prob double, quantile double")
 
 
 def bin_column(col: str | Column, edges: Sequence[float]) -> Column:

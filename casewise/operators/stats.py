@@ -25,16 +25,24 @@ def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).na.drop("any")
 
 
-def _native_pairs(df: DataFrame, cols: Sequence[str], measure: Callable[[Column, Column], Column]) -> DataFrame:
-    quoted = {c: F.col(f"`{c}`") for c in cols}
+def _native_pairs(df: DataFrame, cols: Sequence[str], measure: Callable[[Column, Column], Column], scaled: bool = False) -> DataFrame:
+    """All pairs in one aggregate; ``scaled`` divides by the roots of the diagonal."""
+    at = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    quoted = [F.col(f"`{c}`") for c in cols]
+    one = df.agg(*[measure(quoted[i], quoted[j]).alias(f"s_{i}_{j}") for i, j in at])
+
+    def cell(i: int, j: int) -> Column:
+        s = F.col(f"s_{i}_{j}")
+        if not scaled:
+            return s
+        if i == j:
+            return F.when(s > 0, 1.0)
+        return F.try_divide(s, F.sqrt(f"s_{i}_{i}") * F.sqrt(f"s_{j}_{j}"))
+
     cells = [
-        F.struct(
-            F.lit(a).alias("var_i"), F.lit(b).alias("var_j"), measure(quoted[a], quoted[b]).alias("s")
-        )
-        for i, a in enumerate(cols)
-        for b in cols[i:]
+        F.struct(F.lit(cols[i]).alias("var_i"), F.lit(cols[j]).alias("var_j"), cell(i, j).alias("s")) for i, j in at
     ]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return one.select(F.inline(F.array(*cells)))
 
 
 def _packed(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -44,8 +52,8 @@ def _packed(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> Da
     return kept.filter(~F.exists("x", lambda v: v.isNull()))
 
 
-def _block_pairs(rows: DataFrame, cols: Sequence[str], centre: Sequence[float]) -> DataFrame:
-    """Sums of ``w * (x_i - c_i) * (x_j - c_j)``: one D x D block per task, then a sum."""
+def _block_pairs(rows: DataFrame, centre: Sequence[float]) -> DataFrame:
+    """``(i, j, s)``, sums of ``w * (x_i - c_i) * (x_j - c_j)``: one D x D block per task, then a sum."""
     mid = np.asarray(centre, dtype=float)
     upper = np.triu_indices(len(mid))
     weighted = "w" in rows.columns
@@ -59,13 +67,12 @@ def _block_pairs(rows: DataFrame, cols: Sequence[str], centre: Sequence[float])
                 total += wx.T @ x
         yield pd.DataFrame({"i": upper[0], "j": upper[1], "s": total[upper]})
 
-    partial = rows.mapInPandas(block, "i int, j int, s double")
+    return rows.mapInPandas(block, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def _named(pairs: DataFrame, cols: Sequence[str], value: Column) -> DataFrame:
     label = F.array(*map(F.lit, cols))
-    return (
-        partial.groupBy("i", "j")
-        .agg(F.sum("s").alias("s"))
-        .select(F.get(label, F.col("i")).alias("var_i"), F.get(label, F.col("j")).alias("var_j"), "s")
-    )
+    return pairs.select(F.get(label, F.col("i")).alias("var_i"), F.get(label, F.col("j")).alias("var_j"), value)
 
 
 def _means(rows: DataFrame, size: int) -> tuple[int, list[float]]:
@@ -73,13 +80,19 @@ def _means(rows: DataFrame, size: int) -> tuple[int, list[float]]:
     return row[0], [v if v is not None else 0.0 for v in row[1:]]
 
 
-def _normalize(pairs: DataFrame) -> DataFrame:
-    """Cross products to correlations; D rows of variances meet D(D+1)/2 rows of pairs."""
-    spread = pairs.filter(F.col("var_i") == F.col("var_j")).select(F.col("var_i").alias("v"), F.sqrt("s").alias("sd"))
-    table = spread.agg(F.map_from_entries(F.collect_list(F.struct("v", "sd")))).scalar()
-    product = F.element_at(table, F.col("var_i")) * F.element_at(table, F.col("var_j"))
-    r = F.when(F.col("var_i") == F.col("var_j"), F.when(F.col("s") > 0, 1.0)).otherwise(F.try_divide("s", product))
-    return pairs.select("var_i", "var_j", r.alias("r"))
+def _normalize(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Cross products to correlations. All pairs fit one row: there are D(D+1)/2."""
+    diagonal = F.when(F.col("i") == F.col("j"), F.struct("i", F.sqrt("s").alias("sd")))
+    whole = pairs.agg(
+        F.collect_list(F.struct("i", "j", "s")).alias("cells"), F.array_sort(F.collect_list(diagonal)).alias("spread")
+    )
+    each = whole.select("spread", F.inline("cells"))
+
+    def sd(at: str) -> Column:
+        return F.get("spread", F.col(at)).getField("sd")
+
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("s") > 0, 1.0)).otherwise(F.try_divide("s", sd("i") * sd("j")))
+    return _named(each, cols, r.alias("r"))
 
 
 def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -88,7 +101,7 @@ def covariance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return _native_pairs(_complete(df, cols), cols, F.covar_samp).withColumnRenamed("s", "cov")
     rows = _packed(df, cols)
     n, centre = _means(rows, len(cols))
-    return _block_pairs(rows, cols, centre).select("var_i", "var_j", (F.col("s") / (n - 1)).alias("cov"))
+    return _named(_block_pairs(rows, centre), cols, (F.col("s") / (n - 1)).alias("cov"))
 
 
 def sscp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -97,43 +110,42 @@ def sscp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return _native_pairs(_complete(df, cols), cols, lambda a, b: F.avg(a * b)).withColumnRenamed("s", "sscp")
     rows = _packed(df, cols)
     n = rows.count()
-    return _block_pairs(rows, cols, [0.0] * len(cols)).select("var_i", "var_j", (F.col("s") / n).alias("sscp"))
+    return _named(_block_pairs(rows, [0.0] * len(cols)), cols, (F.col("s") / n).alias("sscp"))
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation as ``r``; NULL where a column is constant."""
     if len(cols) <= NATIVE_COLUMNS:
-        return _native_pairs(
-            _complete(df, cols), cols, lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-        ).withColumnRenamed("s", "r")
+        return _native_pairs(_complete(df, cols), cols, F.covar_pop, scaled=True).withColumnRenamed("s", "r")
     rows = _packed(df, cols)
     _, centre = _means(rows, len(cols))
-    return _normalize(_block_pairs(rows, cols, centre))
+    return _normalize(_block_pairs(rows, centre), cols)
 
 
-def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
-    """Spearman correlation as ``r``: Pearson of mean ranks.
-
-    Equal rows are counted first, so the rank joins see each combination of values once.
-    """
+def _ranked(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
+    """Mean ranks ``_r0``, ``_r1``, … minus their mean, one row per combination of values
+    with its count ``_w``: equal rows are counted first, so a frequent value is joined
+    to its rank once per combination."""
     rows = _complete(df, cols)
     edges = slice_edges(rows, cols, **options)
     ranked = rows.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("_w"))
     for i, c in enumerate(cols):
-        ranks = average_ranks(rows, c, edges).toDF(f"_v{i}", f"_r{i}")
+        ranks = average_ranks(rows, c, edges).toDF(f"_v{i}", f"_rank{i}")
         ranked = ranked.join(ranks, F.col(f"`{c}`") == F.col(f"_v{i}"))
-    # The mean of mean ranks is (n + 1) / 2 for every column.
-    n = rows.count()
-    mid = (n + 1) / 2
-    r_names = [f"_r{i}" for i in range(len(cols))]
-    slim = ranked.select("_w", *r_names)
-    if len(cols) <= NATIVE_COLUMNS:
-        pairs = _native_pairs(slim, r_names, lambda a, b: F.sum(F.col("_w") * (a - mid) * (b - mid)))
-    else:
-        pairs = _block_pairs(_packed(slim, r_names, "_w"), r_names, [mid] * len(cols))
-    named = F.create_map(*[F.lit(x) for pair in zip(r_names, cols) for x in pair])
-    return _normalize(
-        pairs.select(F.element_at(named, F.col("var_i")).alias("var_i"), F.element_at(named, F.col("var_j")).alias("var_j"), "s")
+    middle = rows.agg((F.count("*") + 1) / 2).scalar()
+    return ranked.select("_w", *[(F.col(f"_rank{i}") - middle).alias(f"_r{i}") for i in range(len(cols))])
+
+
+def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
+    """Spearman correlation as ``r``: Pearson of mean ranks."""
+    names = [f"_r{i}" for i in range(len(cols))]
+    ranked = _ranked(df, cols, **options)
+    if len(cols) > NATIVE_COLUMNS:
+        return _normalize(_block_pairs(_packed(ranked, names, "_w"), [0.0] * len(cols)), cols)
+    pairs = _native_pairs(ranked, names, lambda a, b: F.sum(F.col("_w") * a * b), scaled=True)
+    named = F.create_map(*[F.lit(x) for pair in zip(names, cols) for x in pair])
+    return pairs.select(
+        F.element_at(named, F.col("var_i")).alias("var_i"), F.element_at(named, F.col("var_j")).alias("var_j"), F.col("s").alias("r")
     )
 
 

@@ -14,7 +14,6 @@ from casewise.functions import (
     contains_any,
     count_band,
     email_domain,
-    json_get,
     mean_age,
     mean_months,
     outward_code,
@@ -68,6 +67,13 @@ AGE_BANDS = [(1, True, "< 1M"), (6, False, "< 6M"), (12, False, "< 12M")]
 AGE_TOP = ">= 12M"
 
 
+# Fields read from a registry document; the officer list is kept as text.
+REGISTRY = (
+    "data struct<companyNumber:string,address:struct<postcode:string,countryCode:string>,incorporationDate:string,"
+    "directorsTree:string,structureLevelWise:map<string,string>,status:string>, metadata struct<created_at:string>"
+)
+
+
 def application_columns(df: DataFrame) -> DataFrame:
     """Company age band, device type and email domain of an application."""
     months = mean_months("incorporation_date", "created_on")
@@ -231,20 +237,15 @@ def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame
 
     Documents are parsed once, and the first per number is chosen before the join.
     """
-    doc = F.try_parse_json("json_col")
-
-    def field(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(F.col("_doc"), path, kind)
-
-    parsed = registry.select(doc.alias("_doc")).select(
-        field("$.data.companyNumber").alias("_number"),
-        field("$.metadata.created_at", "timestamp_ntz").alias("registry_created_at"),
-        field("$.data.address.postcode").alias("company_postcode"),
-        field("$.data.address.countryCode").alias("company_countrycode"),
-        field("$.data.incorporationDate").alias("incorporation_date"),
-        field("$.data.directorsTree").alias("directors_tree"),
-        field('$.data.structureLevelWise["1"]').alias("structure_level"),
-        field("$.data.status").alias("registry_status"),
+    parsed = registry.select(F.from_json("json_col", REGISTRY).alias("doc")).select(
+        F.col("doc.data.companyNumber").alias("_number"),
+        F.col("doc.metadata.created_at").try_cast("timestamp_ntz").alias("registry_created_at"),
+        F.col("doc.data.address.postcode").alias("company_postcode"),
+        F.col("doc.data.address.countryCode").alias("company_countrycode"),
+        F.col("doc.data.incorporationDate").alias("incorporation_date"),
+        F.col("doc.data.directorsTree").alias("directors_tree"),
+        F.try_element_at(F.col("doc.data.structureLevelWise"), F.lit("1")).alias("structure_level"),
+        F.col("doc.data.status").alias("registry_status"),
     )
     first = first_per_key(parsed.filter(F.col("_number").isNotNull()), "_number", "registry_created_at")
     done = members.filter(F.col("is_completed") == 1).select("member_id")

@@ -13,7 +13,6 @@ from casewise.functions import (
     extract_first,
     in_codes,
     is_not_value,
-    json_get,
     map_codes,
     within_days,
 )
@@ -21,6 +20,13 @@ from casewise.operators.frames import unpivot_refs
 from casewise.operators.temporal import dedupe, latest_per_key
 
 
+# Fields read from a decision document; nested lists are kept as text.
+DECISION = (
+    "identity struct<membership_id:string>, metadata struct<created_at:string>, "
+    "decision struct<risk_category:string,final_decision:string,failed_business_rules:string>"
+)
+
+
 def member_flags(members: DataFrame, lo, hi, days: int = 90) -> DataFrame:
     """Completed members created in [lo, hi] and decided within ``days``, with 0/1 flags."""
     approved = within_days("created_at", "approved_at", days)
@@ -75,13 +81,18 @@ def days_to_escalation(escalations: DataFrame, entities: DataFrame, members: Dat
 
 def parse_decisions(decisions: DataFrame, lo, hi) -> DataFrame:
     """Latest decision(s) per member among those recorded in [lo, hi], from JSON documents."""
-    parsed = decisions.select(
-        json_get("data", "$.identity.membership_id").alias("member_id"),
-        json_get("data", "$.metadata.created_at", "timestamp_ntz").alias("decided_at"),
-        json_get("data", "$.decision.risk_category").alias("risk_category"),
-        json_get("data", "$.decision.final_decision").alias("decision"),
-        json_get("data", "$.decision.failed_business_rules").alias("failed_business_rules"),
-    ).filter(F.col("decided_at").cast("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    doc = F.from_json("data", DECISION).alias("doc")
+    parsed = (
+        decisions.select(doc)
+        .select(
+            F.col("doc.identity.membership_id").alias("member_id"),
+            F.col("doc.metadata.created_at").try_cast("timestamp_ntz").alias("decided_at"),
+            F.col("doc.decision.risk_category").alias("risk_category"),
+            F.col("doc.decision.final_decision").alias("decision"),
+            F.col("doc.decision.failed_business_rules").alias("failed_business_rules"),
+        )
+        .filter(F.col("decided_at").cast("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+    )
     return latest_per_key(parsed, "member_id", "decided_at")
 
 

@@ -34,13 +34,26 @@ def test_sliced_ranks_equal_plain_ranks(lines):
     assert np.allclose(plain, lines.select(COLS).toPandas().corr("spearman").to_numpy())
 
 
-def test_sliced_quantiles_equal_plain_quantiles(lines):
+def test_quantiles_are_exact(spark, lines, monkeypatch):
     probs = [0, 0.01, 0.2, 0.5, 0.77, 1]
-    plain = ordered.quantile_table(lines, COLS, probs)
-    cut = ordered.quantile_table(lines, COLS, probs, one_task=100, slices=7)
     pandas = lines.select(COLS).toPandas().quantile(probs)
-    for c in COLS:
-        assert cut[c] == pytest.approx(plain[c]) and plain[c] == pytest.approx(list(pandas[c]))
+    want = {c: pytest.approx(list(pandas[c])) for c in COLS}
+    assert ordered.quantile_table(lines, COLS, probs) == want
+    assert ordered.quantile_table(lines, COLS, probs, one_task=100) == want
+    # Brackets that miss must be noticed.
+    monkeypatch.setattr(ordered, "_brackets", lambda *a: [(1.5, 2.5), (4.5, 5.5), (20000.0, 20001.0)])
+    assert ordered.quantile_table(lines, COLS, probs) == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 99, 100, 101, 1000, 60_000])
+def test_quantiles_of_any_size(spark, n):
+    probs = [0, 0.001, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1]
+    df = spark.range(n).select(F.xxhash64("id").cast("double").alias("x"), (F.col("id") % 7).alias("k"), F.lit(None).cast("double").alias("none"))
+    got = ordered.quantile_table(df, ["x", "k", "none"], probs)
+    pandas = df.select("x", "k").toPandas().quantile(probs)
+    assert got["none"] == []
+    for c in ("x", "k"):
+        assert got[c] == pytest.approx(list(pandas[c]))
 
 
 def test_sliced_roc_equals_plain_roc(lines):
