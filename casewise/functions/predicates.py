@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["case_label", "cohort_filter", "in_codes", "is_not_value", "within_days"]
+__all__ = ["case_label", "cohort_filter", "in_codes", "is_not_value", "on_days", "within_days"]
 
 
 def _c(col: str | Column) -> Column:
@@ -47,12 +47,18 @@ def is_not_value(col: str | Column, value) -> Column:
     return ~_c(col).eqNullSafe(F.lit(value))
 
 
+def on_days(col: str | Column, lo, hi) -> Column:
+    """Dated from day ``lo`` to day ``hi``. The column is compared as it is, so that the
+    filter can reach the scan and prune files."""
+    first, after = F.lit(lo).cast("date"), F.date_add(F.lit(hi).cast("date"), 1)
+    return (_c(col) >= first) & (_c(col) < after)
+
+
 def cohort_filter(
     created: str | Column, approved: str | Column, lo, hi, months: int = 3
 ) -> Column:
     """Created in [lo, hi], or approved in [lo, hi] within ``months`` of creation;
     and approved (or, failing that, created) by ``hi``."""
     made, ok = _c(created).cast("date"), _c(approved).cast("date")
-    first, last = F.lit(lo).cast("date"), F.lit(hi).cast("date")
-    late = ok.between(first, last) & ok.between(made, F.add_months(made, months))
-    return (F.coalesce(ok, made) <= last) & (made.between(first, last) | late)
+    late = on_days(approved, lo, hi) & ok.between(made, F.add_months(made, months))
+    return (F.coalesce(ok, made) <= F.lit(hi).cast("date")) & (on_days(created, lo, hi) | late)

@@ -327,8 +327,11 @@ def lin_ts(
     inputs = [F.col(cluster).alias("_cluster"), _seed(key, seed, None).alias("_seed")] + [
         F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(xs, names)
     ]
+    # Fitting is costly and the table is read twice: for its size and for its rows.
+    wanted = wanted.persist(StorageLevel.MEMORY_AND_DISK)
     if wanted.count() * (size + size * size) <= model_numbers:
         shared = df.sparkSession.sparkContext.broadcast(factors(wanted.collect()))
+        wanted.unpersist()
 
         @F.pandas_udf(", ".join(f"`{s}` double" for s in scores))
         def score_batch(rows: pd.DataFrame) -> pd.DataFrame:

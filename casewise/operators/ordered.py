@@ -9,6 +9,7 @@ them agrees; their number is bounded by ``columns x slices``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,28 +187,32 @@ def _order_statistics(df, numbers, sizes, ranges, probs, one_task) -> dict[str,
         edges,
         feature="feature",
     )
-    count = F.element_at(F.create_map(*[F.lit(v) for c in kept for v in (c, sizes[c])]), F.col("feature"))
-
-    def order_statistic(place: Column) -> Column:
-        inside = (F.col("cum_n") > place) & (F.col("cum_n") - F.col("n") <= place)
-        return F.max(F.when(inside, F.col("value")))
-
-    places = [F.lit(p) * (count - 1) for p in probs]
-    picks = [F.struct(order_statistic(F.floor(w)), order_statistic(F.ceil(w)), F.max(w - F.floor(w))) for w in places]
-    rows = totals.groupBy("feature").agg(F.array(*picks).alias("picks")).collect()
-    # A gap's stand-in value is never a row's value: mark it so that the caller notices.
-    out = {}
-    for row in rows:
-        inside = ranges[row["feature"]]
-        out[row["feature"]] = [
-            low + (high - low) * share
-            if all(any(a <= v <= b for a, b in inside) for v in (low, high))
-            else float("nan")
-            for low, high, share in row["picks"]
-        ]
+    wanted = {c: sorted({k for p in probs for k in _places(p, sizes[c])[:2]}) for c in kept}
+    table = F.create_map(*[F.lit(v) for c in kept for v in (c, wanted[c])])
+    first = F.col("cum_n") - F.col("n")
+    hits = F.filter(F.element_at(table, F.col("feature")), lambda k: (k >= first) & (k < F.col("cum_n")))
+    # At most two rows per column and probability.
+    found = totals.select("feature", "value", F.explode(hits).alias("place")).collect()
+    at = {(r["feature"], r["place"]): r["value"] for r in found}
+    out: dict[str, list[float]] = {}
+    for c in kept:
+        out[c] = []
+        for p in probs:
+            low, high, share = _places(p, sizes[c])
+            a, b = at[c, low], at[c, high]
+            # A gap's stand-in is never inside a bracket: mark it so that the caller notices.
+            held = all(any(x <= v <= y for x, y in ranges[c]) for v in (a, b))
+            out[c].append(a + (b - a) * share if held else float("nan"))
     return out
 
 
+def _places(prob: float, n: int) -> tuple[int, int, float]:
+    """The two ranks (from 0) around a quantile and the weight of the upper one."""
+    where = prob * (n - 1)
+    low = math.floor(where)
+    return low, math.ceil(where), where - low
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **options) -> DataFrame:
     """``(feature, prob, quantile)`` of :func:`quantile_table`."""
     table = quantile_table(df, cols, probs, **options)

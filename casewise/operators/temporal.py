@@ -56,9 +56,8 @@ def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def time_split(df: DataFrame, ts: str, end, days: int = 90) -> tuple[DataFrame, DataFrame]:
     """Rows up to ``days`` before ``end``, and the rows after that day."""
-    edge = F.date_sub(F.lit(end).cast("date"), days)
-    day = F.col(ts).cast("date")
-    return df.filter(day <= edge), df.filter(day > edge)
+    next_day = F.date_sub(F.lit(end).cast("date"), days - 1)
+    return df.filter(F.col(ts) < next_day), df.filter(F.col(ts) >= next_day)
 
 
 def interval_match(

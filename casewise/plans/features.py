@@ -16,6 +16,7 @@ from casewise.functions import (
     email_domain,
     mean_age,
     mean_months,
+    on_days,
     outward_code,
     parse_people,
     single_name,
@@ -249,9 +250,7 @@ def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame
     )
     first = first_per_key(parsed.filter(F.col("_number").isNotNull()), "_number", "registry_created_at")
     done = members.filter(F.col("is_completed") == 1).select("member_id")
-    rows = entities.filter(
-        F.col("created_at").cast("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
-    ).join(done, "member_id")
+    rows = entities.filter(on_days("created_at", lo, hi)).join(done, "member_id")
     joined = rows.join(first, F.col("registry_no") == F.col("_number"), "left")
     return joined.select(
         "entity_id",

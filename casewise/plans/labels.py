@@ -14,6 +14,7 @@ from casewise.functions import (
     in_codes,
     is_not_value,
     map_codes,
+    on_days,
     within_days,
 )
 from casewise.operators.frames import unpivot_refs
@@ -33,7 +34,7 @@ def member_flags(members: DataFrame, lo, hi, days: int = 90) -> DataFrame:
     rejected = within_days("created_at", "rejected_at", days)
     return (
         members.filter(
-            F.col("created_at").cast("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
+            on_days("created_at", lo, hi)
             & (F.col("is_completed") == 1)
             & ((approved == 1) | (rejected == 1))
         )
@@ -91,7 +92,7 @@ def parse_decisions(decisions: DataFrame, lo, hi) -> DataFrame:
             F.col("doc.decision.final_decision").alias("decision"),
             F.col("doc.decision.failed_business_rules").alias("failed_business_rules"),
         )
-        .filter(F.col("decided_at").cast("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+        .filter(on_days("decided_at", lo, hi))
     )
     return latest_per_key(parsed, "member_id", "decided_at")
 

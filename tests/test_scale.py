@@ -114,6 +114,17 @@ def test_time_filters_reach_the_scan(spark, table):
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>", text)
 
 
+def test_day_filters_reach_the_scan(spark, table):
+    from casewise.functions import on_days
+    from casewise.operators.temporal import time_split
+
+    orders = table("orders").select("o_orderkey", "o_orderdate")
+    train, test = time_split(orders, "o_orderdate", "2000-12-31", 90)
+    assert "LessThan(o_orderdate" in plan(train) and "GreaterThanOrEqual(o_orderdate" in plan(test)
+    days = plan(orders.filter(on_days("o_orderdate", "1996-01-01", "1996-12-31")))
+    assert "GreaterThanOrEqual(o_orderdate" in days and "LessThan(o_orderdate" in days
+
+
 def test_parquet_csv_and_model_round_trips(spark, table, tmp_path):
     nation = table("nation")
     write_parquet(nation, str(tmp_path / "n"), ["n_regionkey"])
