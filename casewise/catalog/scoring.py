@@ -68,13 +68,22 @@ def beta_thompson_scores(t: Tables) -> DataFrame:
     return beta_ts(rows, posterior, "cluster", "o_orderkey", list(REWARDS))
 
 
+# Newton steps of an intercept alone, with the same stop rule.
 @query(f"""
-SELECT cluster, 'urgent' AS reward, urgent_success AS success, urgent_failure AS failure, round(ln(urgent_success / urgent_failure), 3) AS intercept
-FROM ({_COUNTS}) UNION ALL
-SELECT cluster, 'large', large_success, large_failure, round(ln(large_success / large_failure), 3) FROM ({_COUNTS})""")
+WITH RECURSIVE k AS ({_COUNTS}),
+c AS (SELECT cluster, 'urgent' AS reward, coalesce(urgent_success, 0) AS s, coalesce(urgent_failure, 0) AS f FROM k
+      UNION ALL SELECT cluster, 'large', coalesce(large_success, 0), coalesce(large_failure, 0) FROM k),
+fit AS (
+  SELECT *, 0 AS step, 0.0::DOUBLE AS b, NULL::DOUBLE AS l0, NULL::DOUBLE AS l1, NULL::DOUBLE AS l2 FROM c
+  UNION ALL
+  SELECT cluster, reward, s, f, step + 1, nb, l1, l2, -s * ln(least(greatest(1 / (1 + exp(-nb)), 1e-10), 1 - 1e-10))
+  FROM (SELECT *, b - ((s + f) * p - s) / ((s + f) * p * (1 - p) + 0.001) AS nb FROM (SELECT *, 1 / (1 + exp(-b)) AS p FROM fit))
+  WHERE step < 100 AND NOT (step >= 3 AND l1 - l2 < 1e-4 AND l0 - l1 < 1e-4))
+SELECT cluster, reward, s AS success, f AS failure, round(b, 6) + 0.0 AS intercept FROM fit
+QUALIFY row_number() OVER (PARTITION BY cluster, reward ORDER BY step DESC) = 1""")
 def intercept_only_models(t: Tables) -> DataFrame:
-    models = fit_logit_by_group(_rows(t), "cluster", "arm", [], REWARDS, tol=1e-9)
-    return models.select("cluster", "reward", "success", "failure", F.round(F.get("beta", F.lit(0)), 3).alias("intercept"))
+    models = fit_logit_by_group(_rows(t), "cluster", "arm", [], REWARDS)
+    return models.select("cluster", "reward", "success", "failure", r6(F.get("beta", F.lit(0))).alias("intercept"))
 
 
 @query()
