@@ -55,6 +55,40 @@ LEVELS = {
 }
 MERGED = {"applicant_id_type_RP_Nid": ["applicant_id_type_Residence_Permit", "applicant_id_type_National_ID"]}
 
+# 0/1 columns that are already flags, and the level left out per column
+# when clustering, so that the remaining ones are not determined by each other.
+FLAGS = [
+    "fraud_fail",
+    "individual_blocklist",
+    "individual_identity_address",
+    "individual_sanctions_pep",
+    "individual_id_scan",
+    "business_internal_checks",
+]
+BASE_LEVELS = {
+    "applicant_postcode": ["Low"],
+    "applicant_idcountry_issue": ["Low"],
+    "applicant_nationality": ["Low"],
+    "applicant_id_type": ["Driving_Licence"],
+    "company_type": ["Low"],
+    "company_nob": ["Low"],
+    "company_keywords": ["Low"],
+    "company_postcode": ["Low"],
+    "company_status": ["Undefined"],
+    "company_directors_count": ["1", "2", "3+"],
+    "company_structurelevelwise": ["1"],
+    "age_of_company_bucket": ["< 1M"],
+}
+
+
+def cluster_features() -> list[str]:
+    """The encoded columns used for clustering and linear scoring."""
+    gone = {part for parts in MERGED.values() for part in parts}
+    gone |= {f"{c}_{level}" for c, levels in BASE_LEVELS.items() for level in levels}
+    dummies = [f"{c}_{level}" for c, levels in LEVELS.items() for level in levels]
+    numbers = ["directors_avg_age_at_completion_rev", "years_to_id_expiry"]
+    return [*numbers, *[d for d in dummies if d not in gone], *MERGED, *FLAGS]
+
 
 def add_fraud(spine: DataFrame, fraud: DataFrame) -> DataFrame:
     """Spine plus fraud labels; no label is 0 and amounts are not negative."""

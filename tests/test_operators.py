@@ -131,6 +131,14 @@ def test_encoder_has_all_columns(spark):
     assert len(dummies) == 50 - 2 + 1 and "applicant_id_type_RP_Nid" in out.columns
 
 
+def test_cluster_features():
+    from casewise.plans import encoded
+
+    names = encoded.cluster_features()
+    assert len(names) == len(set(names)) == 43
+    assert "applicant_id_type_RP_Nid" in names and "company_status_Undefined" not in names
+
+
 def test_iv_zero_cell_is_null(spark):
     df = spark.createDataFrame([(0, 1.0, 1.0), (0, 1.0, 2.0), (1, 2.0, 1.0), (1, 2.0, 2.0)], "y int, x double, z double")
     got = {r["feature"]: r for r in information.iv_class(df, "y", ["x", "z"]).collect()}
