@@ -19,14 +19,18 @@ def _null_last(ts: str) -> Column:
     return F.struct(F.col(ts).isNull().alias("missing"), F.col(ts).alias("at"))
 
 
-def _extreme_per_key(df: DataFrame, key: str, ts: str, ties: bool, tie_break: Sequence[str], pick, pick_by) -> DataFrame:
-    if ties:
-        # Map-side aggregation leaves one row per key; AQE may broadcast it or split a
-        # skewed key of the join, so no task has to sort a whole hot key.
-        best = df.groupBy(key).agg(pick(_null_last(ts)).alias("_best"))
-        same = F.col("l._at").eqNullSafe(F.col("r._best")) & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-        marked = df.withColumn("_at", _null_last(ts))
-        return marked.alias("l").join(best.alias("r"), same, "left_semi").drop("_at")
+def _rows_at(df: DataFrame, key: str, ts: str, best: Column) -> DataFrame:
+    """All rows at their key's ``best`` time, ties included.
+
+    Map-side aggregation leaves one row per key; AQE may broadcast it or split a skewed
+    part of the join, so no task has to sort a whole hot key.
+    """
+    times = df.groupBy(F.col(key).alias("_key")).agg(best.alias("_best"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(ts).eqNullSafe(F.col("_best"))
+    return df.join(times, same, "left_semi")
+
+
+def _one_row(df: DataFrame, key: str, ts: str, tie_break: Sequence[str], pick_by) -> DataFrame:
     order = F.struct(_null_last(ts), *[F.col(c) for c in tie_break])
     rows = df.groupBy(F.col(key).alias("_key")).agg(pick_by(F.struct(*df.columns), order).alias("_row"))
     return rows.select("_row.*")
@@ -38,12 +42,16 @@ def latest_per_key(df: DataFrame, key: str, ts: str, ties: bool = True, tie_brea
     A NULL timestamp counts as the greatest. ``ties=False`` keeps one row, the one with
     the greatest ``tie_break`` values.
     """
-    return _extreme_per_key(df, key, ts, ties, tie_break, F.max, F.max_by)
+    if not ties:
+        return _one_row(df, key, ts, tie_break, F.max_by)
+    return _rows_at(df, key, ts, F.when(~F.max(F.col(ts).isNull()), F.max(ts)))
 
 
 def first_per_key(df: DataFrame, key: str, ts: str, ties: bool = True, tie_break: Sequence[str] = ()) -> DataFrame:
     """Rows with the least ``ts`` of their key; NULL comes last."""
-    return _extreme_per_key(df, key, ts, ties, tie_break, F.min, F.min_by)
+    if not ties:
+        return _one_row(df, key, ts, tie_break, F.min_by)
+    return _rows_at(df, key, ts, F.min(ts))
 
 
 def dedupe(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
