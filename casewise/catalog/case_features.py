@@ -61,7 +61,7 @@ def cleaned_years_to_expiry(t: Tables) -> DataFrame:
 
 _REGISTERED = f"""{s.ctes('entities', 'members', 'registry')},
 first_doc AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY registry_no ORDER BY registry_created_at) AS rnk FROM registry) WHERE rnk = 1),
-registered AS (SELECT DISTINCT entity_id, e.created_at, e.registry_no, (d.registry_no IS NOT NULL)::INT AS duedil_hit, company_postcode, registry_status, structure_level, part
+registered AS (SELECT DISTINCT entity_id, e.created_at, e.registry_no, (d.registry_no IS NOT NULL)::INT AS registry_hit, company_postcode, registry_status, structure_level, part
   FROM entities e JOIN members m USING (member_id) LEFT JOIN first_doc d ON e.registry_no = d.registry_no
   WHERE is_completed = 1 AND e.created_at BETWEEN DATE '{LO}' AND DATE '{HI}')"""
 
@@ -71,11 +71,11 @@ def registered(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {_REGISTERED} SELECT DISTINCT entity_id, registry_no, duedil_hit, company_postcode, registry_status AS status, structure_level FROM registered""")
+WITH {_REGISTERED} SELECT DISTINCT entity_id, registry_no, registry_hit, company_postcode, registry_status AS status, structure_level FROM registered""")
 def registry_documents(t: Tables) -> DataFrame:
     found = registered(t)
     return found.select(
-        "entity_id", "registry_no", "duedil_hit", "company_postcode", F.col("registry_status").alias("status"), "structure_level"
+        "entity_id", "registry_no", "registry_hit", "company_postcode", F.col("registry_status").alias("status"), "structure_level"
     ).distinct()
 
 

@@ -257,7 +257,7 @@ def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame
         "member_id",
         "created_at",
         "registry_no",
-        F.col("_number").isNotNull().cast("int").alias("duedil_hit"),
+        F.col("_number").isNotNull().cast("int").alias("registry_hit"),
         *[c for c in parsed.columns if c != "_number"],
     ).distinct()
 
