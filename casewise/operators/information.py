@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewise.functions import clip
 from casewise.operators.ordered import bin_column, quantile_table
 from casewise.operators.stats import spearman
 
