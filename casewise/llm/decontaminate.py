@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     wins = saved(item_windows(items.select("item_id", "text"), window))
     sizes = [r[0] for r in wins.select(F.least("n", F.lit(shingle))).distinct().collect()]
     kinds = saved(wins.select("w", "n").distinct())
-    pieces = [
-        kinds.where(F.least("n", F.lit(shingle)) == size).select(
-            "w", "n", F.explode(bound(F.split("w", " "), lambda t, size=size: _shingles(t, size))).alias("_s")
-        )
-        for size in sizes
-    ]
+
+    def pieces(size: int) -> DataFrame:
+        some = kinds.where(F.least("n", F.lit(shingle)) == size)
+        return some.select("w", "n", F.explode(bound(F.split("w", " "), lambda t: _shingles(t, size))).alias("_s"))
+
     keyed = docs.select("doc_id", "text", row_key().alias("_k"))
     counts = keyed.select("doc_id", "_k", F.size(words()).cast("long").alias("n_words"))
     none = F.lit(0).cast("long")
     if not sizes:
         return counts.select("doc_id", "n_words", none.alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    parts = pieces[0]
-    for more in pieces[1:]:
-        parts = parts.unionByName(more)
+    parts = reduce(DataFrame.unionByName, map(pieces, sizes))
     parts = saved(parts.select("w", "n", F.col("_s.pos").alias("off"), F.col("_s.h").alias("h")))
 
     found = bound(words(), lambda t: F.concat(*[_shingles(t, size) for size in sizes]))

@@ -180,3 +180,137 @@ def test_forward_sums_every_segmentation():
     probs = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [0.2], [1e-8], [0]])
     want = 0.1 * 0.2 * 0.3 + 0.15 * 0.3 + 0.1 * 0.05 + 0.2
     assert np.exp(word_scores(["▁ab"], pieces, probs, 3))[0, 0] == pytest.approx(want)
+
+
+def secret_spans(text):
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets(spark, queries, folder):
+    kinds = ("assign", "access", "hex")
+    found = {r.doc_id: r for r in queries["op2_secret_scan"](spark, folder).collect()}
+    for d in rows(spark, folder, "documents"):
+        base, r = secret_spans(d["text"] or ""), found[d["doc_id"]]
+        names = [f"{kinds[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert [s for s in r.spans.split(",") if s and not s.startswith("entropy")] == names
+
+
+def test_window_entropy(spark):
+    from pyspark.sql import functions as F
+
+    from casewise.llm.secrets import window_entropy
+
+    texts = ["aB3dE6gH9jK2mN5pQ8sT1vW4", "a" * 30, "ab1" * 10, "Zx9+/Qw3rT5yU7iOaaaaaaaaaaaaaaaaaaaaaa"]
+    for text, got in spark.createDataFrame([(t,) for t in texts], "t string").select("t", window_entropy(F.col("t"))).collect():
+        best = 0.0
+        for i in range(len(text) - 19):
+            _, n = np.unique(list(text[i : i + 20]), return_counts=True)
+            best = max(best, -(n / 20 * np.log2(n / 20)).sum())
+        assert got == pytest.approx(best)
+
+
+def test_url_rules(spark, queries, folder):
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    found = {r.page_id: r for r in queries["op4_url_rules"](spark, folder).collect()}
+    pages = rows(spark, folder, "pages")
+    assert len(found) == len(pages)
+    for p in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", p["url"] or "")
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [x for x in rules if ("." + host).endswith("." + x.split("/")[0]) and path.startswith("/" + x.split("/", 1)[1])]
+        r = found[p["page_id"]]
+        want = max(fits, key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, want)
+        assert r.verdict == rules[want] if want else r.verdict in ("allow", "block")
+
+
+def test_sketches(spark, queries, folder):
+    from casewise.llm.sketch import ENDS
+
+    def units(text):
+        return {p for p in re.split(ENDS, text) if p.strip(" ")}
+
+    def likeness(a, b):
+        a, b = units(a), units(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    docs = {(d["doc_id"], d["text"]) for d in rows(spark, folder, "documents")}
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    found = {r.doc_id: r for r in queries["op10_document_sketch"](spark, folder).collect()}
+    prints = {}
+    for i, (doc_id, text) in enumerate(docs):
+        text, nxt, r = text or "", docs[(i + 1) % len(docs)][1] or "", found[doc_id]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + nxt[:cut]
+        assert r.n_chars == len(text)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(likeness(text, edited)), doc_id
+        assert r.near_next == pytest.approx(likeness(text, nxt)), doc_id
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint
+        assert prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+
+
+def test_toxicity(spark, queries, folder):
+    folder = folder.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to learn from
+    found = {r.doc_id: r for r in queries["op6_toxicity"](spark, folder).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in rows(spark, folder, "labels")}
+    good = [r.score for i, r in found.items() if r.held_out and truth.get(i) == 0]
+    bad = [r.score for i, r in found.items() if r.held_out and truth.get(i) == 1]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values())
+    if "sf0.01" in folder:
+        assert np.mean([b > g for b in bad for g in good]) > 0.9
+
+
+def test_toxic_sentence_is_found(spark):
+    from casewise.llm import toxicity
+
+    texts = [("the day was fine. you awful fool. rain came.", 1), ("the day was fine. rain came.", 0)] * 30
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs)).where("doc_id < 2").orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.offending] for r in got] == [[(17, 32)], []]
+
+
+def test_chat(spark, queries, folder):
+    from casewise.llm import chat
+
+    found = queries["op1_chat_repair"](spark, folder).collect()
+    by_conv = {}
+    for r in sorted(found, key=lambda r: (r.part, r.seq)):
+        by_conv.setdefault(r.conv_id, []).append(r)
+    convs = {}
+    for t in rows(spark, folder, "conversations"):
+        convs.setdefault(t["conv_id"], []).append(t)
+    assert by_conv.keys() == convs.keys()
+    for conv, pieces in by_conv.items():
+        text = "".join(p.rendered for p in pieces)
+        roles = re.findall(r"<\|(system|user|assistant)\|>", text)
+        assert roles[-1] == "assistant" and text.endswith("<|end|>\n")
+        assert all(b in chat.LEGAL[a] for a, b in zip([None, *roles], roles))
+        assert sum(p.action != "empty" for p in pieces) == len(convs[conv])
+
+
+def test_chat_segments_agree_with_one_pass():
+    from casewise.llm import chat
+
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        roles = [("system", "user", "assistant", None)[i] for i in draw.integers(0, 4, draw.integers(1, 9))]
+        cut = int(draw.integers(0, len(roles) + 1))
+        parts = [p for p in (roles[:cut], roles[cut:]) if p]
+        ends = chat.ends_of([chat.segment_costs(p) for p in parts])
+        end = chat.segment_costs(roles)[0]
+        want = min(end[s] + chat.ENDS[chat.STATES[s]][0] for s in range(4))
+        cost, state = 0.0, 0
+        for p, (a, b) in zip(parts, ends):
+            for role, (_, _, to) in zip(p, chat.repair(p, a, b)):
+                after = chat.STATES.index(to)
+                cost, state = cost + chat.COSTS[role][state, after], after
+        assert cost + chat.ENDS[chat.STATES[state]][0] == want
