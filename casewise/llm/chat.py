@@ -134,7 +134,6 @@ def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return _batched(rows(), ["_c", "_part", "costs"])
 
 
-@F.pandas_udf("array<struct<before:int,after:int>>")
 def _path(lists: pd.Series) -> pd.Series:
     out = []
     for flat in lists:
@@ -191,7 +190,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     path = (
         costs.groupBy("_c")
         .agg(F.sort_array(F.collect_list(F.struct("_part", "costs"))).alias("_s"))
-        .withColumn("_p", _path(F.flatten(F.col("_s.costs"))))
+        .withColumn("_p", F.pandas_udf(_path, "array<struct<before:int,after:int>>")(F.flatten(F.col("_s.costs"))))
         .select("_c", F.size("_s").alias("_n"), F.posexplode(F.arrays_zip(F.col("_s._part").alias("_part"), F.col("_p").alias("p"))).alias("_i", "_z"))
         .select("_c", F.col("_z._part").alias("_part"), "_z.p.before", "_z.p.after", (F.col("_i") == F.col("_n") - 1).alias("last"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ CHUNK = 32
 UNKNOWN = 1e-8
 SMOOTH = 1e-3
 CACHE = 300_000
+GROUP_CHARS = 2_000_000
+SAMPLE_DOCS = 10_000
 
 
 def read_pieces(path: str | None = None) -> dict[str, int]:
@@ -82,18 +85,17 @@ def expected_counts(words: list[str], times: np.ndarray, pieces: dict[str, int],
             for size in range(1, min(wide, n - a) + 1):
                 back[:, a] += probs[ids[:, a, size - 1], 0] * back[:, a + size]
         scale = times[where] / ahead[:, n]
-        for a in range(n):
-            for size in range(1, min(wide, n - a) + 1):
-                got = ids[:, a, size - 1]
-                keep = got >= 0
-                share = ahead[:, a] * probs[got, 0] * back[:, a + size] * scale
-                total += np.bincount(got[keep], share[keep], minlength=len(total))
+        after = np.minimum(np.arange(n)[:, None] + np.arange(1, wide + 1), n)
+        share = (ahead[:, :n] * scale[:, None])[:, :, None] * probs[ids, 0] * back[:, after]
+        keep = ids >= 0
+        total += np.bincount(ids[keep], share[keep], minlength=len(total))
     return total
 
 
-def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], dict[str, int], np.ndarray]:
-    """Languages, pieces, and probabilities by (piece, language) from rows of ``text, lang``.
+def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, int], np.ndarray]:
+    """Languages, pieces, and probabilities by (piece, language) from rows of ``doc_id, text, lang``.
 
+    Fits on about ``sample`` rows with a language, those whose id's hash lies under a bound; on all if there are fewer.
     Words are counted by Spark first, so each distinct word of a language is segmented once.
     The result has one row per vocabulary piece and one column per language.
     """
@@ -101,11 +103,14 @@ def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], dict[str
     longest = max(map(len, pieces), default=1)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
+    named = docs.where("lang is not null")
+    share = sample / max(named.count(), sample)
     counted = (
-        docs.where("lang is not null")
+        named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
         .select("lang", F.explode(split_words("text")).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     )
 
     def expect(frames):
@@ -150,35 +155,48 @@ def detect(docs: DataFrame, langs: list[str], pieces: dict[str, int], probs: np.
     model = docs.sparkSession.sparkContext.broadcast((pieces, probs))
     longest = max(map(len, pieces), default=1)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def grouped(texts: pd.Series) -> Iterator[list]:
+        """Texts in runs of about ``GROUP_CHARS``, so that new words are scored together."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text or "")
+            if chars >= GROUP_CHARS:
+                yield held
+                held, chars = [], 0
+        if held:
+            yield held
+
+    def scored(texts: list, cache: dict[str, np.ndarray]) -> pd.DataFrame:
         import regex
 
         find = regex.compile(LETTERS).findall
         vocabulary, table = model.value
+        counts = [Counter(find(text.lower())) if text else Counter() for text in texts]
+        new = list({w for c in counts for w in c}.difference(cache)) if langs else []
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+            new = list({w for c in counts for w in c}) if langs else []
+        cut = [(w, c) for w in new for c in chunks(w)]
+        for (w, _), row in zip(cut, word_scores([c for _, c in cut], vocabulary, table, longest)):
+            cache[w] = cache[w] + row if w in cache else row
+        names, scores = [], []
+        for found in counts:
+            if not found or not langs:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            logs = np.fromiter(found.values(), float, len(found)) @ np.array([cache[w] for w in found])
+            best = int(np.argmax(logs))
+            names.append(langs[best])
+            scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
+        return pd.DataFrame({"lang_pred": names, "score": scores}, columns=["lang_pred", "score"])
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict[str, np.ndarray] = {}
         for texts in parts:
-            names, scores = [], []
-            for text in texts:
-                found: dict[str, int] = {}
-                for word in find(text.lower()) if text else ():
-                    found[word] = found.get(word, 0) + 1
-                if not found or not langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                new = [w for w in found if w not in cache]
-                if new:
-                    if len(cache) + len(new) > CACHE:
-                        cache, new = {}, list(found)
-                    cut = [(w, c) for w in new for c in chunks(w)]
-                    for (w, _), row in zip(cut, word_scores([c for _, c in cut], vocabulary, table, longest)):
-                        cache[w] = cache[w] + row if w in cache else row
-                logs = np.array(list(found.values()), float) @ np.array([cache[w] for w in found])
-                best = int(np.argmax(logs))
-                names.append(langs[best])
-                scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.concat([scored(group, cache) for group in grouped(texts)] or [scored([], cache)], ignore_index=True)
 
     return docs.withColumn("_judged", judge("text")).select(*docs.columns, "_judged.lang_pred", "_judged.score")
 

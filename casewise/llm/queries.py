@@ -85,7 +85,7 @@ def op8_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.train(docs.where(language.learnable()).select("text", "lang"))
+    model = language.train(docs.where(language.learnable()).select("doc_id", "text", "lang"))
     return language.detect(docs.select("doc_id", "text"), *model).select(
         "doc_id", (~language.learnable()).alias("held_out"), "lang_pred", "score"
     )

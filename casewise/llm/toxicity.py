@@ -17,6 +17,7 @@ LEAST_DOCS = 4
 STEPS = 300
 RATE = 0.1
 DECAY = 2e-4
+SPARSE = 2e-3
 SENTENCE = r"[^.!?\n]+"
 WORD = r"[\p{L}\p{M}']+"
 
@@ -80,6 +81,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> dict[str, float]:
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         move = RATE * (first / (1 - 0.9**at)) / (np.sqrt(second / (1 - 0.99**at)) + 1e-6)
         weight, bias = weight - move[:-1], bias - move[-1]
+        weight = np.sign(weight) * np.maximum(np.abs(weight) - RATE * SPARSE, 0)
     return {"": float(bias)} | {w: float(weight[i]) for w, i in number.items() if abs(weight[i]) > 1e-3}
 
 

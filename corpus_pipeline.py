@@ -16,7 +16,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised with a posterior of ``LEAST_SCORE`` or more."""
-    model = language.train(docs.where(language.learnable()).select("text", "lang"))
+    model = language.train(docs.where(language.learnable()).select("doc_id", "text", "lang"))
     judged = language.detect(docs.select(F.struct(*docs.columns).alias("row"), "text"), *model)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 

@@ -314,3 +314,11 @@ def test_chat_segments_agree_with_one_pass():
                 after = chat.STATES.index(to)
                 cost, state = cost + chat.COSTS[role][state, after], after
         assert cost + chat.ENDS[chat.STATES[state]][0] == want
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
