@@ -23,7 +23,7 @@ _FLAGS = f"""flags AS (SELECT DISTINCT * FROM (SELECT member_id, created_at, app
 _ESCALATED = """escalated AS (
   SELECT nullif(regexp_extract(trim(summary), '[0-9]{4,}'), '') AS entity_id, min(change_at)::DATE AS escalated_on
   FROM tickets JOIN changes USING (ticket_id)
-  WHERE project_key = 'RCM' AND trim(issue_type) IN ('TM alert', 'Risk case') AND (status IS NULL OR status <> 'Duplicates')
+  WHERE project_key = 'CASE' AND trim(issue_type) IN ('TM alert', 'Risk case') AND (status IS NULL OR status <> 'Duplicates')
     AND (is_subtask IS NULL OR is_subtask <> 1) AND new_value IN ('SAR', 'Clear funds') GROUP BY 1)"""
 
 
@@ -55,7 +55,7 @@ _BY_CODE = _spine_sql(
 
 def spine(t: Tables, **options) -> DataFrame:
     options = options or {"categories": CATEGORIES}
-    escalations = first_escalation(s.tickets(t), s.changes(t), "RCM", ISSUES, VALUES)
+    escalations = first_escalation(s.tickets(t), s.changes(t), "CASE", ISSUES, VALUES)
     return decision_spine(s.entities(t), s.members(t), s.decisions(t), s.actions(t), escalations, LO, HI, **options)
 
 
@@ -81,7 +81,7 @@ def member_decisions(t: Tables) -> DataFrame:
 
 @query(f"WITH {s.ctes('tickets', 'changes')}, {_ESCALATED} SELECT entity_id, escalated_on::VARCHAR AS day FROM escalated")
 def first_escalations(t: Tables) -> DataFrame:
-    found = first_escalation(s.tickets(t), s.changes(t), "RCM", ISSUES, VALUES)
+    found = first_escalation(s.tickets(t), s.changes(t), "CASE", ISSUES, VALUES)
     return found.select("entity_id", F.col("escalated_on").cast("string").alias("day"))
 
 
@@ -92,14 +92,14 @@ FRAUD_SQL = f"""
 known AS (SELECT ticket_key FROM (
     SELECT t.ticket_key, t.entity_id, t.ticket_id, min(coalesce(change_at, created_at)) AS reported FROM tickets t
     LEFT JOIN changes c ON c.ticket_id = t.ticket_id AND change_field = 'Number of fraud reports'
-    WHERE project_key = 'RCM' AND n_reports IS NOT NULL AND is_subtask <> 1 AND fraud_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
+    WHERE project_key = 'CASE' AND n_reports IS NOT NULL AND is_subtask <> 1 AND fraud_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
       AND coalesce(change_at, created_at)::DATE BETWEEN DATE '{LO}' AND DATE '{HI}' + INTERVAL 6 MONTH AND status NOT IN ('Duplicate', 'Duplicates')
     GROUP BY 1, 2, 3) WHERE reported BETWEEN DATE '{LO}' AND DATE '{HI}' + INTERVAL 6 MONTH GROUP BY 1),
 refs AS (SELECT ticket_key, regexp_replace(r, '[\\s,"\\]]', '', 'g') AS ref FROM
    (SELECT ticket_key, trim(ref_1) AS r FROM tickets UNION SELECT ticket_key, trim(ref_2) FROM tickets) WHERE r IS NOT NULL),
 named AS (SELECT coalesce(a.parent_key, a.ticket_key) AS ticket_key, CASE WHEN a.parent_key IS NULL THEN a.fraud_type ELSE p.fraud_type END AS fraud_type,
             a.created_at AS opened_at, a.entity_id AS ticket_entity, ref
-          FROM (SELECT * FROM tickets WHERE project_key = 'RCM') a JOIN refs USING (ticket_key) LEFT JOIN tickets p ON a.parent_key = p.ticket_key),
+          FROM (SELECT * FROM tickets WHERE project_key = 'CASE') a JOIN refs USING (ticket_key) LEFT JOIN tickets p ON a.parent_key = p.ticket_key),
 claimed AS (SELECT *, x.entity_id AS paid_entity FROM named JOIN txns x ON ref = txn_ref WHERE transaction_at >= DATE '1996-01-01'
   QUALIFY row_number() OVER (PARTITION BY txn_ref ORDER BY opened_at, ticket_key, transaction_at, amount, paid_entity, ticket_entity, fraud_type) = 1),
 fraud AS (SELECT coalesce(ticket_entity, paid_entity) AS entity_id, transaction_at::DATE AS paid_on, amount FROM claimed
@@ -117,7 +117,7 @@ GROUP BY 1, 2, 3, 4, 5)"""
 def fraud(t: Tables) -> DataFrame:
     return fraud_labels(
         s.tickets(t), s.changes(t), s.txns(t), s.entities(t), s.members(t), LO, HI,
-        project="RCM", fraud_types=FRAUD_TYPES, ref_cols=["ref_1", "ref_2"], change_field="Number of fraud reports", since="1996-01-01",
+        project="CASE", fraud_types=FRAUD_TYPES, ref_cols=["ref_1", "ref_2"], change_field="Number of fraud reports", since="1996-01-01",
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.catalog.registry import Tables, query
+from casewise.catalog.registry import Tables, query, r6
 from casewise.operators.information import iv_class, iv_group, iv_reg, mic, spearman_sq
+from casewise.operators.stats import pearson, spearman
 
 _ROWS = """
 SELECT CASE WHEN l_quantity + 300 * l_discount > 45 AND l_linenumber > 2 THEN 2
@@ -85,16 +86,30 @@ def _rank_sql(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
 
-@query(f"""
-WITH src AS ({_ROWS}),
-r AS (SELECT {_rank_sql('target')} AS y, {_rank_sql('quantity')} AS a, {_rank_sql('mixed')} AS b, {_rank_sql('line')} AS c FROM src)
-SELECT 'quantity' AS feature, round_even(corr(a, y) ** 2, 3)::DOUBLE AS r2 FROM r
-UNION ALL SELECT 'mixed', round_even(corr(b, y) ** 2, 3)::DOUBLE FROM r
-UNION ALL SELECT 'line', round_even(corr(c, y) ** 2, 3)::DOUBLE FROM r""")
+@query(f"WITH src AS ({_ROWS})\n" + "\nUNION ALL ".join(f"""
+SELECT '{c}' AS feature, round_even(corr(x, y) ** 2, 3)::DOUBLE AS r2
+FROM (SELECT {_rank_sql('target')} AS y, {_rank_sql(c)} AS x FROM src WHERE {c} IS NOT NULL)""" for c in FEATURES))
 def squared_rank_correlation(t: Tables) -> DataFrame:
-    return spearman_sq(_rows(t), "target", ["quantity", "mixed", "line"])
+    return spearman_sq(_rows(t), "target", FEATURES)
+
+
+_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+
+@query(f"WITH src AS ({_ROWS})\n" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS var_i, '{b}' AS var_j, round(corr({a}, {b}), 6) AS r FROM src" for a, b in _PAIRS
+))
+def pearson_of_columns_with_nulls(t: Tables) -> DataFrame:
+    return pearson(_rows(t), FEATURES).select("var_i", "var_j", r6("r").alias("r"))
+
+
+@query(f"WITH src AS ({_ROWS})\n" + "\nUNION ALL ".join(f"""
+SELECT '{a}' AS var_i, '{b}' AS var_j, round(corr(x, y), 6) AS r
+FROM (SELECT {_rank_sql(a)} AS x, {_rank_sql(b)} AS y FROM src WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a, b in _PAIRS))
+def spearman_of_columns_with_nulls(t: Tables) -> DataFrame:
+    return spearman(_rows(t), FEATURES).select("var_i", "var_j", r6("r").alias("r"))
 
 
 @query()
 def maximal_information(t: Tables) -> DataFrame:
-    return mic(_rows(t), "target", ["quantity", "mixed", "line"])
+    return mic(_rows(t), "target", FEATURES)

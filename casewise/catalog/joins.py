@@ -107,6 +107,26 @@ def shipments_within_six_months(t: Tables) -> DataFrame:
     return found.select("o_custkey", F.col("first_day").cast("string").alias("first_day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("""
+SELECT a.o_orderkey AS account, d::VARCHAR AS day, count(l_orderkey)::BIGINT AS n, coalesce(round(sum(l_quantity), 2), 0.0) AS quantity
+FROM (SELECT row_number() OVER () AS i, o_custkey % 100 AS o_orderkey, date_trunc('month', o_orderdate)::DATE AS d FROM orders) a
+LEFT JOIN (SELECT o_custkey % 100 AS k, l_orderkey, l_quantity, l_shipdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = 1) b
+  ON k = a.o_orderkey AND day BETWEEN d AND d + INTERVAL 30 DAY
+GROUP BY i, 1, 2""")
+def shipments_after_repeated_months(t: Tables) -> DataFrame:
+    account = (F.col("o_custkey") % 100).alias("account")
+    months = t.orders.select(account, F.trunc("o_orderdate", "month").alias("day"))
+    lines = t.lineitem.where("l_linenumber = 1").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    found = interval_match(
+        months, lines.select(account, "l_shipdate", "l_quantity"), "account", "day", "l_shipdate", days=30,
+        aggs={"n": F.count("*"), "quantity": F.round(F.sum("l_quantity"), 2)},
+    )
+    return found.select(
+        "account", F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("quantity", F.lit(0.0)).alias("quantity"),
+    )
+
+
 _SPINE = "SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'"
 _PAST = "SELECT user_id, ts AS past_ts, event_id AS past_id, event_type AS past_type, value AS past_value FROM events WHERE event_type <> 'purchase'"
 
@@ -237,4 +257,4 @@ def worst_officer_nationality(t: Tables) -> DataFrame:
         F.concat(F.lit("N"), key.cast("string")).alias("code"),
         F.when(key == 3, "High").when(key == 1, "Medium").otherwise("Low").alias("level"),
     )
-    return nationality_levels_join(nations, "p_partkey", "nations", levels, "level").select("p_partkey", "level")
+    return nationality_levels_join(nations, "nations", levels, "level").select("p_partkey", "level")

@@ -32,7 +32,7 @@ SELECT 'm' || o_custkey AS member_id, o_orderdate::TIMESTAMP AS decided_at,
     "tickets": """
 SELECT o_orderkey AS ticket_id, 'T' || o_orderkey AS ticket_key,
   CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 3 = 0 THEN 'T' || (o_orderkey - o_orderkey % 10) END AS parent_key,
-  CASE WHEN o_orderkey % 4 <> 3 THEN 'RCM' ELSE 'OTH' END AS project_key,
+  CASE WHEN o_orderkey % 4 <> 3 THEN 'CASE' ELSE 'OTH' END AS project_key,
   'case ' || (o_custkey + 1000) || ' check' AS summary,
   CASE WHEN o_orderpriority < '4' THEN ' TM alert' ELSE 'Other' END AS issue_type,
   CASE WHEN o_orderstatus = 'F' THEN 'Done' WHEN o_orderstatus = 'P' THEN 'Duplicates' END AS status,
@@ -118,7 +118,7 @@ def tickets(t: Tables) -> DataFrame:
         k.alias("ticket_id"),
         F.concat(F.lit("T"), _text(k)).alias("ticket_key"),
         F.when((k % 10 != 0) & (k % 3 == 0), F.concat(F.lit("T"), _text(k - k % 10))).alias("parent_key"),
-        F.when(k % 4 != 3, "RCM").otherwise("OTH").alias("project_key"),
+        F.when(k % 4 != 3, "CASE").otherwise("OTH").alias("project_key"),
         F.concat(F.lit("case "), _text(c + 1000), F.lit(" check")).alias("summary"),
         F.when(F.col("o_orderpriority") < "4", " TM alert").otherwise("Other").alias("issue_type"),
         F.when(status == "F", "Done").when(status == "P", "Duplicates").alias("status"),

@@ -6,8 +6,10 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
 from casewise.functions.draws import betas, normals
@@ -15,7 +17,7 @@ from casewise.functions.draws import betas, normals
 # Larger clusters are fitted from sums made in parallel instead of in one task.
 GROUP_ROWS = 200_000
 # Largest model (numbers in all coefficient and covariance arrays) sent to every task.
-MODEL_NUMBERS = 50_000_000
+MODEL_NUMBERS = 1_000_000
 
 
 def _in_arms(arm: str, arms: Sequence[str]):
@@ -344,14 +346,14 @@ def lin_ts(
     most = df.groupBy(cluster).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     chunks = -(-most // chunk_rows)
     left = df.withColumns({"_row": F.struct(*df.columns), "_chunk": F.pmod(_seed(key, seed, None), F.lit(chunks)).cast("int")})
-    left = left.select(*inputs, "_chunk", F.to_json("_row").alias("_json"))
+    left = left.select(*inputs, "_chunk", "_row")
     right = wanted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(int(chunks) - 1))))
 
-    def score_chunk(batch: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        found = score(batch, factors(model.to_dict("records")))
-        return pd.concat([batch[["_json"]].reset_index(drop=True), found], axis=1)
+    # Arrow tables hand the caller's row through as it is, whatever its types.
+    def score_chunk(rows: pa.Table, model: pa.Table) -> pa.Table:
+        found = score(rows.drop_columns(["_row"]).to_pandas(), factors(model.to_pylist()))
+        return pa.table({"_row": rows["_row"]} | {s: pa.array(found[s], from_pandas=True) for s in scores})
 
-    schema = "_json string, " + ", ".join(f"`{s}` double" for s in scores)
-    done = left.groupBy("_cluster", "_chunk").cogroup(right.groupBy("_cluster", "_chunk")).applyInPandas(score_chunk, schema)
-    back = F.from_json("_json", df.schema)
-    return done.select(back.alias("_row"), *scores).select("_row.*", *scores)
+    schema = StructType([StructField("_row", df.schema), *[StructField(s, DoubleType()) for s in scores]])
+    done = left.groupBy("_cluster", "_chunk").cogroup(right.groupBy("_cluster", "_chunk")).applyInArrow(score_chunk, schema)
+    return done.select("_row.*", *[f"`{s}`" for s in scores])

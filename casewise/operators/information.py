@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.operators.ordered import bin_column, quantile_table
-from casewise.operators.stats import spearman
+from casewise.operators.stats import columns_with_nulls, spearman
 
 
 def _binned(df: DataFrame, y: str, xs: Sequence[str], uniq: int, bins: int, **options) -> DataFrame:
@@ -115,8 +116,15 @@ def iv_reg(df: DataFrame, y: str, xs: Sequence[str], uniq: int = 10, bins: int =
 
 
 def spearman_sq(df: DataFrame, y: str, xs: Sequence[str], **options) -> DataFrame:
-    """``(feature, r2)``: squared Spearman correlation with the target, 3 decimals."""
-    pairs = spearman(df, [y, *xs], **options).filter((F.col("var_i") == y) & (F.col("var_j") != y))
+    """``(feature, r2)``: squared Spearman correlation with the target, 3 decimals.
+
+    Each feature is ranked on the rows that have it and the target, whatever the other features lack.
+    """
+    rows = df.filter(F.col(y).cast("double").isNotNull())
+    holes = columns_with_nulls(rows, xs)
+    groups = [[x for x in xs if x not in holes], *[[x] for x in holes]]
+    found = reduce(DataFrame.unionByName, [spearman(rows.na.drop("any", subset=g), [y, *g], **options) for g in groups if g])
+    pairs = found.filter((F.col("var_i") == y) & (F.col("var_j") != y))
     return pairs.select(F.col("var_j").alias("feature"), F.bround(F.col("r") * F.col("r"), 3).alias("r2"))
 
 
@@ -149,20 +157,21 @@ def _mic_of(x: np.ndarray, y: np.ndarray, alpha: float) -> float:
 
 def mic(df: DataFrame, y: str, xs: Sequence[str], alpha: float = 0.6, sample: int = MIC_ROWS, seed: int = 42) -> DataFrame:
     """``(feature, mic)``: greatest normalised mutual information over equal-frequency
-    grids of up to ``n ** alpha`` cells, on a sample of at most ``sample`` rows.
+    grids of up to ``n ** alpha`` cells, on a sample of at most ``sample`` of the rows that have
+    the feature and the target.
 
     Features run in parallel, one bounded sample each.
     """
-    rows = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs]).na.drop("any")
-    total = rows.count()
-    if total > sample:
-        # A little more than needed in parallel, then the least random numbers of those.
-        near = rows.sample(fraction=min(1.0, (1.05 * sample + 1000) / total), seed=seed)
-        rows = near.withColumn("_u", F.rand(seed)).orderBy("_u").limit(sample).drop("_u")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in xs])
+    rows = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs]).na.drop(subset=["y"])
+    counts = rows.agg(*[F.count(f"`{c}`").alias(c) for c in xs]).first()
+    # A little more than needed in parallel, then the least random numbers of those.
+    part = {c: min(1.0, (1.05 * sample + 1000) / max(counts[c], 1)) for c in xs}
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.lit(part[c]).alias("part")) for c in xs])
+    long = rows.select("y", F.inline(cells)).where("x is not null").withColumn("u", F.rand(seed)).where("u < part")
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.nsmallest(sample, "u")
         value = _mic_of(group["x"].to_numpy(), group["y"].to_numpy(), alpha)
         return pd.DataFrame({"feature": [group["feature"].iloc[0]], "mic": [round(value, 4)]})
 
-    return rows.select("y", F.inline(cells)).groupBy("feature").applyInPandas(score, "feature string, mic double")
+    return long.drop("part").groupBy("feature").applyInPandas(score, "feature string, mic double")

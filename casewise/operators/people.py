@@ -33,14 +33,15 @@ def nationality_level(nationalities: Column, countries: Mapping[str, str]) -> Co
     return worst_in_array(F.transform(nationalities, lambda c: F.try_element_at(table, c)))
 
 
-def nationality_levels_join(df: DataFrame, key: str, nationalities: str, countries: DataFrame, out: str) -> DataFrame:
-    """As :func:`nationality_level` with a ``(code, level)`` table of any size."""
-    codes = df.select(F.col(key).alias("_key"), F.explode(nationalities).alias("code"))
+def nationality_levels_join(df: DataFrame, nationalities: str, countries: DataFrame, out: str) -> DataFrame:
+    """As :func:`nationality_level` with a ``(code, level)`` table of any size; equal lists are graded once."""
+    lists = df.select(F.col(nationalities).alias("_key")).where("size(_key) > 0").distinct()
+    codes = lists.select("_key", F.explode("_key").alias("code"))
     worst = (
         codes.join(countries, "code")
         .groupBy("_key")
         .agg(F.min(F.when(F.col("level") == "High", 1).when(F.col("level") == "Medium", 2).when(F.col("level") == "Low", 3)).alias("_n"))
     )
     label = F.when(F.col("_n") == 1, "High").when(F.col("_n") == 2, "Medium").when(F.col("_n") == 3, "Low")
-    joined = df.join(worst, F.col(key) == F.col("_key"), "left")
+    joined = df.join(worst, F.col(nationalities) == F.col("_key"), "left")
     return joined.withColumn(out, F.coalesce(label, F.lit("Undefined"))).drop("_key", "_n")

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.operators.stats import covariance, pearson, spearman, sscp, to_matrix
+from casewise.operators.stats import complete_pearson, complete_spearman, covariance, sscp, to_matrix
 
 _MEASURES = {
-    "pearsonr": (pearson, "r"),
-    "spearmanr": (spearman, "r"),
+    "pearsonr": (complete_pearson, "r"),
+    "spearmanr": (complete_spearman, "r"),
     "cov": (covariance, "cov"),
     "sscp": (sscp, "sscp"),
 }

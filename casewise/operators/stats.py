@@ -1,13 +1,14 @@
 """Correlation, covariance and cross-product tables.
 
 Every operator returns a long table ``(var_i, var_j, <measure>)`` over the upper triangle
-with the diagonal, in the caller's column order. Rows with a missing value in any of the
-columns are left out.
+with the diagonal, in the caller's column order. The correlations of two columns rest on the
+rows that have both; covariances and cross products on the rows that have all columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,15 +22,25 @@ from casewise.operators.ordered import average_ranks, slice_edges
 NATIVE_COLUMNS = 12
 
 
+def _number(c: str) -> Column:
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).na.drop("any")
 
 
 def _native_pairs(df: DataFrame, cols: Sequence[str], measure: Callable[[Column, Column], Column], scaled: bool = False) -> DataFrame:
-    """All pairs in one aggregate; ``scaled`` divides by the roots of the diagonal."""
+    """All pairs in one aggregate; ``scaled`` divides by the roots of each column with itself on the rows of the pair."""
     at = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     quoted = [F.col(f"`{c}`") for c in cols]
-    one = df.agg(*[measure(quoted[i], quoted[j]).alias(f"s_{i}_{j}") for i, j in at])
+    wanted = {f"s_{i}_{j}": measure(quoted[i], quoted[j]) for i, j in at}
+    if scaled:
+        for i, j in [(i, j) for a, b in at if a != b for i, j in [(a, b), (b, a)]]:
+            own = F.when(quoted[j].isNotNull(), quoted[i])
+            wanted[f"own_{i}_{j}"] = measure(own, own)
+    one = df.agg(*[value.alias(name) for name, value in wanted.items()])
 
     def cell(i: int, j: int) -> Column:
         s = F.col(f"s_{i}_{j}")
@@ -37,7 +48,7 @@ def _native_pairs(df: DataFrame, cols: Sequence[str], measure: Callable[[Column,
             return s
         if i == j:
             return F.when(s > 0, 1.0)
-        return F.try_divide(s, F.sqrt(f"s_{i}_{i}") * F.sqrt(f"s_{j}_{j}"))
+        return F.try_divide(s, F.sqrt(f"own_{i}_{j}") * F.sqrt(f"own_{j}_{i}"))
 
     cells = [
         F.struct(F.lit(cols[i]).alias("var_i"), F.lit(cols[j]).alias("var_j"), cell(i, j).alias("s")) for i, j in at
@@ -80,6 +91,42 @@ def _means(rows: DataFrame, size: int) -> tuple[int, list[float]]:
     return row[0], [v if v is not None else 0.0 for v in row[1:]]
 
 
+def _pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(var_i, var_j, r)``: one table of pair sums per task, over the rows that have both columns, then a sum."""
+    x = F.array(*[_number(c) for c in cols])
+    middle = df.agg(*[F.avg(_number(c)) for c in cols]).first()
+    mid = np.array([0.0 if v is None else v for v in middle])
+    i, j = np.triu_indices(len(cols))
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, one, square, both = (np.zeros((len(mid), len(mid))) for _ in range(4))
+        for batch in batches:
+            if len(batch):
+                value = np.stack([np.asarray(v, dtype=float) for v in batch["x"]]) - mid
+                there = np.stack([np.asarray(v, dtype=float) for v in batch["present"]])
+                value = np.where(there == 1, value, 0.0)
+                n, one = n + there.T @ there, one + value.T @ there
+                square, both = square + (value**2).T @ there, both + value.T @ value
+        cells = {"n": n[i, j], "a": one[i, j], "b": one[j, i], "aa": square[i, j], "bb": square[j, i], "ab": both[i, j]}
+        yield pd.DataFrame({"i": i, "j": j} | cells)
+
+    rows = df.select(F.transform(x, lambda v: F.coalesce(v, F.lit(0.0))).alias("x"), F.transform(x, lambda v: v.isNotNull().cast("int")).alias("present"))
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+    parts = rows.mapInPandas(block, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+    def spread(square: str, total: str) -> Column:
+        # What rounding leaves of a constant column is no variance.
+        left = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(left > 1e-12 * F.col(square), left)
+
+    own = spread("aa", "a")
+    r = F.when(F.col("i") == F.col("j"), F.when(own > 0, 1.0)).otherwise(
+        F.try_divide(F.col("ab") - F.try_divide(F.col("a") * F.col("b"), F.col("n")), F.sqrt(own) * F.sqrt(spread("bb", "b")))
+    )
+    return _named(sums, cols, r.alias("r"))
+
+
 def _normalize(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Cross products to correlations. All pairs fit one row: there are D(D+1)/2."""
     diagonal = F.when(F.col("i") == F.col("j"), F.struct("i", F.sqrt("s").alias("sd")))
@@ -114,12 +161,16 @@ def sscp(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation as ``r``; NULL where a column is constant."""
+    """Pearson correlation as ``r``, each pair over the rows that have both; NULL where a column is constant."""
     if len(cols) <= NATIVE_COLUMNS:
-        return _native_pairs(_complete(df, cols), cols, F.covar_pop, scaled=True).withColumnRenamed("s", "r")
-    rows = _packed(df, cols)
-    _, centre = _means(rows, len(cols))
-    return _normalize(_block_pairs(rows, centre), cols)
+        numbers = df.select(*[_number(c).alias(c) for c in cols])
+        return _native_pairs(numbers, cols, F.covar_pop, scaled=True).withColumnRenamed("s", "r")
+    return _pair_correlations(df, cols)
+
+
+def complete_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """As :func:`pearson`, over the rows that have every column: one matrix without negative eigenvalues."""
+    return pearson(df.filter(~F.exists(F.array(*[_number(c) for c in cols]), lambda v: v.isNull())), cols)
 
 
 def _ranked(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
@@ -136,8 +187,30 @@ def _ranked(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
     return ranked.select("_w", *[(F.col(f"_rank{i}") - middle).alias(f"_r{i}") for i in range(len(cols))])
 
 
+def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns that lack a number in some row."""
+    missing = df.agg(*[F.max(_number(c).isNull()) for c in cols]).first()
+    return [c for c, some in zip(cols, missing) if some]
+
+
 def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
-    """Spearman correlation as ``r``: Pearson of mean ranks."""
+    """Spearman correlation as ``r``: Pearson of mean ranks, each pair ranked on the rows that have both.
+
+    Columns without NULLs share one ranking; each pair with a NULL column is ranked on its own.
+    """
+    holes = set(columns_with_nulls(df, cols))
+    full = [c for c in cols if c not in holes]
+    found = [complete_spearman(df, full, **options)] if full else []
+    for i, a in enumerate(cols):
+        found += [
+            complete_spearman(df, [a, b], **options).filter("var_i <> var_j") for b in cols[i + 1 :] if a in holes or b in holes
+        ]
+        if a in holes:
+            found.append(complete_spearman(df, [a], **options))
+    return reduce(DataFrame.unionByName, found)
+
+
+def complete_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
     names = [f"_r{i}" for i in range(len(cols))]
     ranked = _ranked(df, cols, **options)
     if len(cols) > NATIVE_COLUMNS:

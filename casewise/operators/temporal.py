@@ -88,7 +88,6 @@ def interval_match(
         raise ValueError("give either days or months")
     width = days + 1 if days is not None else 31 * months + 1
     start = F.col(anchor).cast("date")
-    stop = F.date_add(start, days) if days is not None else F.add_months(start, months)
 
     def cell(day: Column) -> Column:
         return F.floor(F.unix_date(day) / width)
@@ -97,13 +96,15 @@ def interval_match(
     clash = set(names) & set(events.columns) - {key}
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
-    marked = anchors.withColumn("_id", F.struct(*names))
-    looks = marked.select(
-        "_id",
+    # Equal anchors look once; all their rows receive the result.
+    looks = anchors.select(F.col(key), start.alias("_start")).distinct().withColumn(
+        "_stop", F.date_add("_start", days) if days is not None else F.add_months("_start", months)
+    )
+    looks = looks.select(
         F.col(key).alias("_key"),
-        start.alias("_start"),
-        stop.alias("_stop"),
-        F.explode(F.sequence(cell(start), cell(stop))).alias("_cell"),
+        "_start",
+        "_stop",
+        F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_stop")))).alias("_cell"),
     )
     found = events.withColumn("_day", F.col(ts).cast("date")).withColumn("_cell", cell(F.col("_day")))
     matched = looks.join(
@@ -112,9 +113,9 @@ def interval_match(
         & (looks["_cell"] == found["_cell"])
         & F.col("_day").between(F.col("_start"), F.col("_stop")),
     ).drop(looks["_cell"]).drop(found["_cell"])
-    aggregated = matched.groupBy("_id").agg(*[a.alias(n) for n, a in (aggs or {}).items()])
-    kept = anchors.withColumn("_id", F.struct(*names)).join(
-        aggregated.withColumnRenamed("_id", "_found"), F.col("_id").eqNullSafe(F.col("_found")), "left"
+    aggregated = matched.groupBy("_key", "_start").agg(*[a.alias(n) for n, a in (aggs or {}).items()])
+    kept = anchors.withColumn("_at", start).join(
+        aggregated, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_start")), "left"
     )
     return kept.select(*names, *list(aggs or {}))
 

@@ -276,7 +276,7 @@ def people_enrich(registry_rows: DataFrame, documents: DataFrame, countries: Dat
         "entity_id", parse_people("directors_tree").alias("people"), "structure_level"
     ).join(documents.select("entity_id", "created_at", "id_first_name", "id_last_name", "date_of_birth"), "entity_id")
     matched = rows.withColumn("_nations", match_person("people", "id_first_name", "id_last_name", "date_of_birth", threshold))
-    graded = nationality_levels_join(matched, "entity_id", "_nations", countries, "applicant_dd_nationality")
+    graded = nationality_levels_join(matched, "_nations", countries, "applicant_dd_nationality")
     level = F.col("structure_level")
     return graded.select(
         "entity_id",

@@ -445,3 +445,65 @@ def test_mic_finds_shape(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": x**2, "x": x, "noise": rng.uniform(size=500)}))
     got = {r["feature"]: r["mic"] for r in information.mic(df, "y", ["x", "noise"]).collect()}
     assert got["x"] > 0.8 > 0.5 > got["noise"]
+
+
+def test_equal_anchors_get_the_same_result_once_each(spark):
+    anchors = spark.createDataFrame([("a", D(2024, 1, 1)), ("a", D(2024, 1, 1)), ("b", None)], "k string, day date")
+    events = spark.createDataFrame([("a", D(2024, 1, 5), 7)], "k string, at date, v int")
+    found = temporal.interval_match(anchors, events, "k", "day", "at", days=10, aggs={"n": F.count("*"), "s": F.sum("v")})
+    assert sorted((r.k, r.n, r.s) for r in found.collect()) == [("a", 1, 7), ("a", 1, 7), ("b", None, None)]
+
+
+def test_nationality_levels_stay_with_their_row(spark):
+    from casewise.operators.people import nationality_levels_join
+
+    rows = spark.createDataFrame([(1, ["X"]), (1, ["Z"]), (1, ["Z", "Y"]), (2, []), (3, None)], "id int, codes array<string>")
+    levels = spark.createDataFrame([("X", "High"), ("Y", "Medium"), ("Z", "Low")], "code string, level string")
+    found = nationality_levels_join(rows, "codes", levels, "worst").collect()
+    assert sorted(r.worst for r in found) == ["High", "Low", "Medium", "Undefined", "Undefined"]
+    assert {r.worst for r in found if r.codes == ["Z"]} == {"Low"}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_correlations_use_the_rows_of_each_pair(spark, monkeypatch, wide, method):
+    if wide and method == "spearman":
+        pytest.skip("pairs with NULLs always rank two columns")
+    if wide:
+        monkeypatch.setattr(stats, "NATIVE_COLUMNS", 1)
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.normal(size=(300, 4)), columns=["y", "x", "z", "flat"])
+    data["x"] += data["y"]
+    data["flat"] = 2.0
+    data.loc[rng.random(300) < 0.5, "z"] = np.nan
+    data.loc[rng.random(300) < 0.2, "x"] = np.nan
+    got = stats.to_matrix(getattr(stats, method)(spark.createDataFrame(data), list(data)), list(data))
+    want = data.corr(method).to_numpy()
+    assert np.allclose(got, want, equal_nan=True)
+
+
+def test_measures_of_a_feature_ignore_the_others(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"y": rng.normal(size=400)})
+    data["x"] = data["y"] + rng.normal(size=400)
+    data["holes"] = np.where(rng.random(400) < 0.9, np.nan, data["y"])
+    df = spark.createDataFrame(data).replace(float("nan"), None)
+    for measure in (information.spearman_sq, information.mic):
+        alone = dict(map(tuple, measure(df, "y", ["x"]).collect()))
+        both = dict(map(tuple, measure(df, "y", ["x", "holes"]).collect()))
+        assert alone["x"] == both["x"] and set(both) == {"x", "holes"}
+
+
+def test_linear_scores_hand_rows_through_unchanged_for_large_models(spark):
+    values = [(i, i % 2, float(i), T(2024, 1, 1, 0, 0, 0, 123456), bytes([0, 255, i]), None if i % 3 else "x") for i in range(20)]
+    df = spark.createDataFrame(values, "id long, cluster long, x double, at timestamp_ntz, raw binary, note string")
+    models = spark.createDataFrame(
+        [(c, "bad", [0.1, 0.02 * (c + 1)], [[0.01, 0.0], [0.0, 0.01]]) for c in (0,)],
+        "cluster long, reward string, beta array<double>, cov array<array<double>>",
+    )
+    plain = bandit.lin_ts(df, models, "cluster", "id", ["x"], ["bad"])
+    spread = bandit.lin_ts(df, models, "cluster", "id", ["x"], ["bad"], model_numbers=0, chunk_rows=3)
+    assert spread.schema.simpleString() == plain.schema.simpleString()
+    found = rows(spread, "id")
+    assert found == rows(plain, "id") and [r[:6] for r in found] == values
+    assert all((r[6] is None) == (r[1] == 1) for r in found)
