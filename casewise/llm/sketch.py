@@ -3,7 +3,7 @@
 A paragraph is a line or, within it, a sentence. A sketch has 24 cells in three ranges; each digest
 lies in one cell of each range, which holds a count, the xor of its digests and the xor of their checks.
 Sketches subtract cell by cell, and peeling cells of one digest recovers the difference. A difference that does
-not peel is tried again with four times as many sketches, among which digests are dealt by hash.
+not peel is tried again with more sketches, among which digests are dealt by hash.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from casewise.llm.common import body, bound, row_key, saved
 
 CELLS = 24
 THIRD = CELLS // 3
+LOAD = 8
 ENDS = r"(?<=[.!?])\s+|\n"
 
 
@@ -85,24 +86,28 @@ def peel(difference: Column) -> Column:
     return F.when(F.exists(difference, _pure) | ~F.exists(difference, lambda c: c["n"] != 0), tries)
 
 
-def split_difference(a: Column, b: Column, parts: int) -> Column:
-    """The digests in which two lists differ, by ``parts`` sketches; null if one of them does not peel."""
-    deal = lambda items, s: F.filter(items, lambda d: F.pmod(F.xxhash64(d, F.lit("part")), F.lit(parts)) == s)
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: bound(sketch(deal(b, s), sketch(deal(a, s)), -1), peel)
-    )
-    return bound(each, lambda found: F.when(~F.exists(found, F.isnull), F.flatten(found)))
-
-
 def differences(pairs: DataFrame) -> DataFrame:
-    """``pair, found`` for rows of ``pair, a, b, cells`` (digest lists and their subtracted sketches), retried larger until all peel."""
+    """``pair, found`` for rows of ``pair, a, b, cells`` (digest lists and their subtracted sketches).
+
+    A pair that does not peel is dealt by hash to as many sketches as hold both its lists, ``LOAD`` digests each; what
+    still does not peel is dealt to four sketches more, by another hash, until all peel. Such a pair has several rows.
+    """
     first = saved(pairs.select("pair", "a", "b", bound(F.col("cells"), peel).alias("found")))
-    done, left, parts = first.where("found is not null").select("pair", "found"), first.where("found is null").select("pair", "a", "b"), 1
-    while not left.isEmpty():
-        parts *= 4
-        tried = saved(left.select("pair", "a", "b", split_difference(F.col("a"), F.col("b"), parts).alias("found")))
+    done = first.where("found is not null").select("pair", "found")
+    signed = lambda side, sign: F.transform(side, lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
+    parts = F.ceil((F.size("a") + F.size("b")) / F.lit(LOAD)) + 1
+    left = first.where("found is null").select("pair", parts.alias("parts"), F.inline(F.concat(signed("a", 1), signed("b", -1))))
+    left = left.select("pair", F.pmod(F.xxhash64("digest", F.lit("part")), "parts").alias("part"), "digest", "sign")
+    number = 0
+    while number == 0 or not left.isEmpty():
+        number += 1
+        lists = left.groupBy("pair", "part").agg(F.collect_list(F.struct("digest", "sign")).alias("items"))
+        cells = F.aggregate("items", _empty(), lambda c, x: _toggle(c, x["digest"], x["sign"]))
+        tried = saved(lists.select("pair", "part", "items", bound(cells, peel).alias("found")))
         done = done.unionByName(tried.where("found is not null").select("pair", "found"))
-        left = tried.where("found is null").select("pair", "a", "b")
+        left = tried.where("found is null").select("pair", "part", F.inline("items"))
+        deeper = F.xxhash64("part", F.pmod(F.xxhash64("digest", F.lit(number)), F.lit(4)))
+        left = left.select("pair", deeper.alias("part"), "digest", "sign")
     return done
 
 
@@ -156,7 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sides = [(side, F.struct(F.col("_k"), F.lit(side).alias("side")).alias("pair")) for side in ("edited", "next")]
     pairs = [made.select(pair, F.col("own").alias("a"), F.col(side).alias("b"), subtract(F.col("own_cells"), F.col(f"{side}_cells")).alias("cells")) for side, pair in sides]
     found = differences(pairs[0].unionByName(pairs[1])).select("pair._k", "pair.side", F.size("found").alias("_d"))
-    apart = found.groupBy("_k").agg(*[F.max(F.when(F.col("side") == side, F.col("_d"))).alias(f"{side}_d") for side, _ in sides])
+    apart = found.groupBy("_k").agg(*[F.sum(F.when(F.col("side") == side, F.col("_d"))).alias(f"{side}_d") for side, _ in sides])
     out = made.join(apart, "_k").select(
         "_k",
         F.col("n").alias("n_chars"),
