@@ -159,7 +159,7 @@ def rank_correlation_of_scores(t: Tables) -> DataFrame:
 
 
 def _learned(t: Tables, method: str, table: str) -> DataFrame:
-    """Embeddings as cases: cluster, fit, score and evaluate on the same rows."""
+    """Embeddings as cases: cluster, fit, score and evaluate on the same rows, over all vector columns."""
     rows = _embedded(t).withColumns(
         {
             "arm": F.when(F.col("label") % 3 == 0, "mkyc_rejected").when(F.col("label") % 3 == 1, "mkyc_approved").otherwise("auto_approved"),
@@ -168,7 +168,7 @@ def _learned(t: Tables, method: str, table: str) -> DataFrame:
         }
     )
     found = learn_and_score(
-        rows, rows, EMBEDDED[:8], "arm", "vec_id", {"bad": ["mkyc_approved", "auto_approved"]},
+        rows, rows, EMBEDDED, "arm", "vec_id", {"bad": ["mkyc_approved", "auto_approved"]},
         ["mkyc_approved", "mkyc_rejected"], ["mkyc_approved", "auto_approved"], k=6, restarts=2, method=method,
     )
     return found[table]

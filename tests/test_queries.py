@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from oracle import compare, connect
@@ -57,3 +58,21 @@ def test_runs_and_returns_rows(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_learned_queries_use_every_vector_column(spark, tmp_path):
+    """Only column 40 tells the labels apart; the first eight say nothing."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        x = draw.normal(1, 0.05, 64)
+        x[40] += 5.0 * (i % 10 > 4)
+        rows.append((i, i % 10, [float(v) for v in x]))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    profile = entry.queries()["learned_cluster_profile"](spark, str(tmp_path)).collect()
+    assert "e40" in {r.drivers[0].feature for r in profile}
+    scores = entry.queries()["learned_linear_scores"](spark, str(tmp_path)).collect()
+    mean = {bad: np.mean([r.bad_score for r in scores if r.bad == bad]) for bad in (0, 1)}
+    assert mean[1] > mean[0] + 300
+    auc = entry.queries()["learned_beta_auc"](spark, str(tmp_path)).first()
+    assert auc.auc > 0.95
