@@ -40,7 +40,7 @@ def _shingles(tokens, size):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of ``doc_id, text``: words, hit words, and the items that occur.
+    """Per row of ``doc_id, text``: its ``row_key`` ``k``, words, hit words, and the items that occur.
 
     A window lies in a text only if all its shingles do, so one shingle is the necessary prefix:
     the one fewest text positions hold. Its place in the window gives the only possible start,
@@ -59,7 +59,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     counts = keyed.select("doc_id", "_k", F.size(words()).cast("long").alias("n_words"))
     none = F.lit(0).cast("long")
     if not sizes:
-        return counts.select("doc_id", "n_words", none.alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return counts.select("doc_id", F.col("_k").alias("k"), "n_words", none.alias("n_hit"), F.array().cast("array<string>").alias("items"))
     parts = reduce(DataFrame.unionByName, map(pieces, sizes))
     parts = saved(parts.select("w", "n", F.col("_s.pos").alias("off"), F.col("_s.h").alias("h")))
 
@@ -108,6 +108,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     hit = spans.select("_k", covered.alias("n_hit")).join(per_item, "_k", "left")
     return counts.join(hit, "_k", "left").select(
         "doc_id",
+        F.col("_k").alias("k"),
         "n_words",
         F.coalesce("n_hit", none).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

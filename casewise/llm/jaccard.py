@@ -159,18 +159,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links`` per row of ``doc_id, text``.
+    """``doc_id, class_id, n_links`` per row of ``doc_id, text``; see :func:`classes`."""
+    return classes(docs, similarity, gram, recall).select("doc_id", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
+    """``doc_id, k, class_id, n_links, chosen`` per row of ``doc_id, text``; ``k`` is its ``row_key``.
 
     Texts with equal n-gram sets are one vertex with a number of copies. Vertices meet in band
     buckets; a bucket is cut into blocks and each pair of blocks is one task's work, so a hot bucket
     spreads. A pair counts in the first band it shares. ``n_links`` counts other rows at or above the
     similarity, equal texts included; ``class_id`` is the least id of the linked group. A row without words
     (null, empty) is a class of its own with no links; a null id is kept, and its class is the least other id.
+    ``chosen`` marks one key per class, the first by (id with nulls last, key); repeated rows share their key.
     """
     bands, rows = bands_for(similarity, recall)
     signed = saved(signatures(docs, bands, rows, gram))
     groups = signed.where("sh is not null").groupBy("sh").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k")).alias("top"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     groups = saved(groups)
     placed = groups.select("sh", "n", F.posexplode("bands").alias("band", "h"))
@@ -194,13 +200,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, gram: int =
     found = saved(work.groupBy("band", "h", "i", "j").applyInPandas(_verified(similarity, gram), "sh string, links long, root string"))
     links = found.groupBy("sh").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("sh").alias("a"), F.col("root").alias("b")))
-    vertices = groups.select("sh", "copies", "least").join(links, "sh", "left").join(labels.withColumnRenamed("node", "sh"), "sh", "left")
+    vertices = groups.select("sh", "copies", "least", "top").join(links, "sh", "left").join(labels.withColumnRenamed("node", "sh"), "sh", "left")
     vertices = saved(vertices.withColumn("label", F.coalesce("label", "sh")))
-    classes = vertices.groupBy("label").agg(F.min("least").alias("class_id"))
-    placed_rows = vertices.join(classes, "label").select("sh", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "sh").join(placed_rows, "sh", "left").select(
+    named = vertices.groupBy("label").agg(F.min("least").alias("class_id"), F.min("top").getField("k").alias("top"))
+    placed_rows = vertices.drop("top").join(named, "label").select("sh", "class_id", "top", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "k", "sh").join(placed_rows, "sh", "left").select(
         "doc_id",
+        "k",
         F.when(F.col("sh").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("k") == F.col("top"), F.lit(True)).alias("chosen"),
     )
 

@@ -22,18 +22,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each class; of rows that share this id, one. Null ids stay."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    least = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each class, the first by (id with nulls last, row key); of rows equal in id and text, one."""
+    chosen = jaccard.classes(docs.select("doc_id", "text")).where("chosen").select(F.col("k").alias("_row_key")).distinct()
+    # Repeated rows go before the join, so that many of them never meet in one task.
+    return docs.withColumn("_row_key", row_key()).dropDuplicates(["_row_key"]).join(chosen, "_row_key", "left_semi").drop("_row_key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the contamination rule marks."""
+    """Drops the rows that the contamination rule marks, whatever their ids; others with the same id stay."""
     found = bench.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    marked = found.where(bench.is_contaminated()).select("doc_id").distinct()
-    return docs.join(marked, "doc_id", "left_anti")
+    marked = found.where(bench.is_contaminated()).select(F.col("k").alias("_row_key")).distinct()
+    return docs.withColumn("_row_key", row_key()).join(marked, "_row_key", "left_anti").drop("_row_key")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

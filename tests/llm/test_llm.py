@@ -322,3 +322,25 @@ def test_entry_imports_without_a_session():
 
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_pipeline_filters_judge_rows_not_ids(spark, tmp_path):
+    """Null ids are filtered like others, and rows that share an id are judged apart."""
+    import corpus_pipeline
+
+    def text(word):
+        return " ".join(f"{word}{i}" for i in range(40))
+
+    docs = [
+        (None, text("a")), (None, text("a")), (None, text("a") + " more"), (7, text("b")), (None, text("b")),
+        (1, text("c")), (1, text("d")), (1, text("d")), (None, text("e")), (2, text("d")), (None, text("bench")), (3, text("bench")), (3, text("f")),
+    ]
+    docs = spark.createDataFrame([(*d, "en", "s") for d in docs], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert len(kept) == 7 and set(kept[0].asDict()) == {"doc_id", "text", "lang", "source"}
+    assert sum(r.text.startswith("a0 ") and r.doc_id is None for r in kept) == 1
+    rest = {(r.doc_id, r.text) for r in kept if not r.text.startswith("a0 ")}
+    assert rest == {(7, text("b")), (1, text("c")), (1, text("d")), (None, text("e")), (3, text("bench")), (3, text("f"))}
+    spark.createDataFrame([(1, text("bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == 11 and {(r.doc_id, r.text) for r in clean} == {(d.doc_id, d.text) for d in docs.collect() if "bench" not in d.text}
