@@ -15,8 +15,11 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 # Least entropy of a window, in bits, by the narrowest class that holds the candidate.
 CLASSES = ((r"^[0-9a-f]+$|^[0-9A-F]+$", 3.0), (r"^[A-Za-z0-9]+$", 3.6), (r"", 3.8))
-# Words, numbers, dashed or slashed words, UUIDs, and documentation samples are no secrets.
-ALLOWED = r"^[A-Za-z/_=+-]+$|^[0-9/_=+-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|placeholder)"
+# Plain words (lower, upper or capitalised), numbers and UUIDs are no secrets.
+PLAIN = r"[A-Z]?[a-z]++|[A-Z]++"
+JOINTS = r"[/_=+-]++"
+ALLOWED = rf"^(?:{JOINTS})?+(?:(?:{PLAIN})(?:{JOINTS}|$))++$|^[0-9/_=+-]+$|^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$"
+SAMPLE = r"(?i:example|sample|placeholder)"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -91,6 +94,22 @@ def window_entropy(value: Column, width: int = WINDOW) -> Column:
     return bound(F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c)), highest)
 
 
+def is_sample(value: Column) -> Column:
+    """A documentation sample: the longest part that is no plain word says so, and no other is as long as a window.
+
+    Labels around a value (``sample_key=``, ``/example/``) are plain words and say nothing of it.
+    """
+    parts = F.filter(F.split(value, JOINTS), lambda p: ~p.rlike(f"^(?:{PLAIN})$"))
+
+    def longest(of: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(of, F.char_length)), F.lit(0))
+
+    return bound(
+        parts,
+        lambda a: longest(F.filter(a, lambda p: ~p.rlike(SAMPLE))) < F.least(F.lit(WINDOW), longest(F.filter(a, lambda p: p.rlike(SAMPLE)))),
+    )
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` per row of ``doc_id, text``; spans are (start, rank in KINDS, end) in code points, ends exclusive.
 
@@ -106,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
         def judged(v: Column) -> Column:
             need = F.when(v.rlike(CLASSES[0][0]), CLASSES[0][1]).when(v.rlike(CLASSES[1][0]), CLASSES[1][1]).otherwise(CLASSES[2][1])
-            return F.when(v.rlike(ALLOWED), F.lit(False)).otherwise(window_entropy(v) >= need)
+            return F.when(v.rlike(ALLOWED) | is_sample(v), F.lit(False)).otherwise(window_entropy(v) >= need)
 
         free = ~F.exists("_base", lambda b: (b.start < s.end) & (s.start < b.end))
         return F.when(free, bound(value, judged)).otherwise(F.lit(False))

@@ -344,3 +344,43 @@ def test_pipeline_filters_judge_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([(1, text("bench"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert len(clean) == 11 and {(r.doc_id, r.text) for r in clean} == {(d.doc_id, d.text) for d in docs.collect() if "bench" not in d.text}
+
+
+def entropy_spans(text):
+    """Candidates that overlap no fixed span, are no plain words, numbers, UUIDs or samples, and reach their class's entropy."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        v = m[0]
+        parts = [p for p in re.split(r"[/_=+-]+", v) if p]
+        odd = [p for p in parts if not (p.isalpha() and (p.islower() or p.isupper() or (p[0].isupper() and p[1:].islower())))]
+        named = [len(p) for p in odd if any(w in p.lower() for w in ("example", "sample", "placeholder"))]
+        others = [len(p) for p in odd if not any(w in p.lower() for w in ("example", "sample", "placeholder"))]
+        if any(a < m.end() and m.start() < b for a, _, b in secret_spans(text)) or not odd or all(p.isdigit() for p in parts):
+            continue
+        if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v) or max(others, default=0) < min(20, max(named, default=0)):
+            continue
+        need = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 3.6 if v.isalnum() else 3.8
+        best = 0.0
+        for i in range(len(v) - 19):
+            n = np.array([v[i : i + 20].count(c) for c in set(v[i : i + 20])])
+            best = max(best, -(n / 20 * np.log2(n / 20)).sum())
+        if best >= need - 1e-9:
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans(spark, queries):
+    from casewise.llm import secrets
+
+    key, letters = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zR0cF2hL5", "qWeRtYuIoPaSdFgHjKlZxCvB"
+    odd = {
+        letters: 1, f"sample_key={key}": 1, f"/example/{key}": 1, f"{key}/example": 1, f"see placeholder-{letters} here": 1, f"Example1={key}": 1,
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": 0, "some_plain-words/And/UPPER_case": 0, "abcdefghijklmnopqrstuvwxyz": 0,
+        "12345678901234567890123": 0, "0123ABCD-0123-4567-89AB-0123456789AB": 0, "x" * 30 + "Y": 0, "ab-" * 20_000: 0,
+    }
+    texts = [*odd, *[d["text"] or "" for d in rows(spark, SF, "documents")]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets.joined("spans").alias("s")).collect()}
+    got = [[s for s in found[i].split(",") if s.startswith("entropy")] for i in range(len(texts))]
+    assert [len(g) for g in got[: len(odd)]] == list(odd.values())
+    assert got == [entropy_spans(t) for t in texts]
