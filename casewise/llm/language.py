@@ -18,7 +18,8 @@ UNKNOWN = 1e-8
 SMOOTH = 1e-3
 CACHE = 300_000
 GROUP_CHARS = 2_000_000
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 10_000  # of each language
+HASHES = 1 << 62
 
 
 def read_pieces(path: str | None = None) -> dict[str, int]:
@@ -95,7 +96,7 @@ def expected_counts(words: list[str], times: np.ndarray, pieces: dict[str, int],
 def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, int], np.ndarray]:
     """Languages, pieces, and probabilities by (piece, language) from rows of ``doc_id, text, lang``.
 
-    Fits on about ``sample`` rows with a language, those whose id's hash lies under a bound; on all if there are fewer.
+    Fits on about ``sample`` rows of each language, those whose hash lies under the language's bound; on all of a language with fewer.
     Words are counted by Spark first, so each distinct word of a language is segmented once.
     The result has one row per vocabulary piece and one column per language.
     """
@@ -104,9 +105,11 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
     named = docs.where("lang is not null")
-    share = sample / max(named.count(), sample)
+    bounds = [(r["lang"], HASHES * sample // max(r["count"], sample)) for r in named.groupBy("lang").count().collect()]
+    limits = F.broadcast(spark.createDataFrame(bounds, "lang string, _bound long"))
     counted = (
-        named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+        named.join(limits, "lang")
+        .where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(HASHES)) < F.col("_bound"))
         .select("lang", F.explode(split_words("text")).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))

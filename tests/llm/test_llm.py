@@ -384,3 +384,17 @@ def test_entropy_spans(spark, queries):
     got = [[s for s in found[i].split(",") if s.startswith("entropy")] for i in range(len(texts))]
     assert [len(g) for g in got[: len(odd)]] == list(odd.values())
     assert got == [entropy_spans(t) for t in texts]
+
+
+def test_rare_languages_are_learned(spark):
+    """A language's rows are all used while they are fewer than the sample, however many rows others have."""
+    from casewise.llm import language
+
+    draw = np.random.default_rng(2)
+    words_of = {lang: [f"{lang}{''.join(draw.choice(list('abcdefgh'), 4))}" for _ in range(8)] for lang in ("q", "v", "x", "z", "k", "w")}
+    docs = [(lang, " ".join(draw.choice(words_of[lang], 12))) for lang, n in zip(words_of, (4000, 6, 6, 6, 6, 6)) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    model = language.train(docs, sample=100)
+    assert model[0] == sorted(words_of)
+    judged = language.detect(docs.where("lang <> 'q'"), *model).collect()
+    assert len(judged) == 30 and all(r.lang_pred == r.lang for r in judged)
