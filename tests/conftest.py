@@ -5,9 +5,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-SMALL = "/root/testdata/sf0.001"
+from oracle import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

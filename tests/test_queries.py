@@ -6,8 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SMALL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 
 import __spark_entry__ as entry
 
