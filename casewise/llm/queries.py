@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casewise.llm import decontaminate as d
-from casewise.llm import chat, jaccard, language, mixing, rans, secrets, sketch, toxicity, url_rules
+from casewise.llm import chat, context_tree, fim, jaccard, language, mixing, prefix_trie, rans, secrets, sketch, toxicity, url_rules
 from casewise.llm.common import shared_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,27 @@ def op10_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+LLM_ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
+@register
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op12_fill_in_middle"] = fim.ORACLE
+
+
+@register
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), ~context_tree.learnable())
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
