@@ -7,11 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is left to one window task.
-HOT_ROWS = 2_000_000
-# At most this many keys can be hot, as each holds at least 1/MAX_HOT of the rows.
-MAX_HOT = 1_000
-SLICES = 64
+# Width of the time buckets in which an as-of join looks back.
+BUCKET_SECONDS = 86_400
 
 
 def _null_last(ts: str) -> Column:
@@ -120,26 +117,6 @@ def interval_match(
     return kept.select(*names, *list(aggs or {}))
 
 
-def _hot_slices(rows: DataFrame, hot_rows: int) -> DataFrame | None:
-    """``(_key, _edges)`` for keys too large for one task; None if there are none.
-
-    A hot key holds at least ``1/MAX_HOT`` of the rows, so at most MAX_HOT rows return.
-    """
-    counts = rows.groupBy("_key").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*")).scalar()
-    hot = counts.filter((F.col("n") >= hot_rows) & (F.col("n") * MAX_HOT >= total) & F.col("_key").isNotNull())
-    names = [r[0] for r in hot.select("_key").collect()]
-    if not names:
-        return None
-    probs = [i / SLICES for i in range(1, SLICES)]
-    edges = (
-        rows.filter(F.col("_key").isin(names))
-        .groupBy("_key")
-        .agg(F.percentile_approx(F.unix_micros(F.col("_at").cast("timestamp")), probs, 10_000).alias("_edges"))
-    )
-    return rows.sparkSession.createDataFrame(edges.collect(), edges.schema)
-
-
 def asof_join(
     spine: DataFrame,
     history: DataFrame,
@@ -149,15 +126,15 @@ def asof_join(
     tie_break: Sequence[str] = (),
     max_age_days: int | None = None,
     strict: bool = False,
-    hot_rows: int = HOT_ROWS,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Each spine row with the latest history row of its key at or before ``ts``.
 
-    ``strict`` hides a row at exactly ``ts``; ``max_age_days`` hides older ones. Both
-    inputs are stacked and the last seen history row is carried forward within the key:
-    one shuffle, no row blow-up. Keys with more than ``hot_rows`` rows are cut into time
-    slices of about equal size, which run in separate tasks and receive the last history
-    row of the earlier slices. Spine rows with a NULL key match nothing.
+    ``strict`` hides a row at exactly ``ts``; ``max_age_days`` hides older ones. Time is cut into buckets of
+    ``bucket_seconds``. The last history row of each (key, bucket) is carried over the key's buckets, one row each,
+    and joins the rows of the next bucket that has any; there the last seen row is carried on. The rows meet by
+    (key, bucket), so a key of any size spreads over its buckets, and the plan is the same at every size: no job
+    runs before it starts. Spine rows with a NULL key or time match nothing.
     """
     payload = [c for c in history.columns if c != key]
     clash = set(payload) & set(spine.columns)
@@ -176,45 +153,26 @@ def asof_join(
         F.lit(0 if strict else 1).alias("_side"),
         F.struct(*spine.columns).alias("_row"),
     )
-    both = past.filter(F.col("_key").isNotNull()).unionByName(rows, allowMissingColumns=True)
-    # Rows without a key would all meet in one window task; they need no window.
-    keyless = both.filter(F.col("_key").isNull())
-    both = both.filter(F.col("_key").isNotNull())
-
-    slices = _hot_slices(both.select("_key", "_at"), hot_rows)
-    if slices is None:
-        sliced, group = both, ["_key"]
-    else:
-        # Bounded by MAX_HOT rows, see _hot_slices.
-        hot = F.broadcast(slices)
-        micros = F.unix_micros(F.col("_at").cast("timestamp"))
-        sliced = both.join(hot, "_key", "left").withColumn(
-            "_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < micros)), F.lit(0))
-        ).drop("_edges")
-        group = ["_key", "_slice"]
-
+    bucket = F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("_bucket")
+    past = past.filter(F.col("_key").isNotNull()).select("*", bucket)
+    # Rows without a key or a time see nothing, and would all meet in one task.
+    lost = F.col("_key").isNull() | F.col("_at").isNull()
+    blind, rows = rows.filter(lost), rows.filter(~lost).select("*", bucket)
+
+    group = ["_key", "_bucket"]
+    ends = past.groupBy(*group).agg(F.max_by("_past", F.struct("_at", "_tie")).alias("_end"))
+    slots = rows.select(*group).distinct().withColumn("_wanted", F.lit(True)).unionByName(ends, allowMissingColumns=True)
+    # At most two rows per bucket of a key reach this window; it looks at earlier buckets only.
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+    carry = slots.select(*group, "_wanted", F.last("_end", ignorenulls=True).over(earlier).alias("_past"))
+    carry = carry.filter(F.col("_wanted") & F.col("_past").isNotNull()).drop("_wanted")
+
+    # The carried row has no time here and so comes before all others of its bucket.
+    both = past.unionByName(carry, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
     seen = Window.partitionBy(*group).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = sliced.withColumn("_hit", F.last("_past", ignorenulls=True).over(seen)).filter(F.col("_row").isNotNull())
-
-    if slices is not None:
-        ends = (
-            sliced.filter(F.col("_past").isNotNull())
-            .join(hot.select("_key"), "_key", "left_semi")
-            .groupBy("_key", "_slice")
-            .agg(F.max_by("_past", F.struct("_at", "_tie")).alias("_end"))
-        )
-        # One row per (hot key, slice): at most MAX_HOT * SLICES rows.
-        grid = hot.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SLICES))).alias("_slice"))
-        earlier = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        carry = grid.join(ends, ["_key", "_slice"], "left").select(
-            "_key", "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
-        )
-        carried = carried.join(carry, ["_key", "_slice"], "left").withColumn(
-            "_hit", F.coalesce("_hit", "_carry")
-        )
-
+    carried = both.withColumn("_hit", F.last("_past", ignorenulls=True).over(seen)).filter(F.col("_row").isNotNull())
     carried = carried.select("_at", "_row", "_hit").unionByName(
-        keyless.select("_at", "_row", F.lit(None).cast(both.schema["_past"].dataType).alias("_hit"))
+        blind.select("_at", "_row", F.lit(None).cast(both.schema["_past"].dataType).alias("_hit"))
     )
     hit = F.col("_hit")
     if max_age_days is not None:

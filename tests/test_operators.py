@@ -47,13 +47,13 @@ HISTORY = [("a", T(2022, 1, 1), 1), ("a", T(2022, 1, 5), 2), ("a", T(2022, 1, 5)
 SPINE = [("a", T(2021, 12, 31)), ("a", T(2022, 1, 1)), ("a", T(2022, 1, 4)), ("a", T(2022, 1, 5)), ("a", T(2022, 3, 1)), ("c", T(2022, 1, 1)), (None, T(2022, 1, 1))]
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 1])
-def test_asof_before_equal_after(spark, hot_rows):
+@pytest.mark.parametrize("bucket_seconds", [10**9, 86_400, 60])
+def test_asof_before_equal_after(spark, bucket_seconds):
     spine = spark.createDataFrame(SPINE, "k string, ts timestamp_ntz")
     hist = spark.createDataFrame(HISTORY, "k string, h timestamp_ntz, v int")
 
     def values(**options):
-        joined = temporal.asof_join(spine, hist, "k", "ts", "h", tie_break=["v"], hot_rows=hot_rows, **options)
+        joined = temporal.asof_join(spine, hist, "k", "ts", "h", tie_break=["v"], bucket_seconds=bucket_seconds, **options)
         return [r["v"] for r in joined.orderBy(F.col("k").asc_nulls_last(), "ts").collect()]
 
     assert values() == [None, 1, 1, 3, 3, None, None]
@@ -69,8 +69,34 @@ def test_asof_of_hot_keys_equals_plain(spark, table):
     hot = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id"))
     spine, past = spine.withColumn("user_id", hot), past.withColumn("user_id", hot)
     plain = rows(temporal.asof_join(spine, past, "user_id", "ts", "h", tie_break=["v"]), "event_id")
-    cut = rows(temporal.asof_join(spine, past, "user_id", "ts", "h", tie_break=["v"], hot_rows=50), "event_id")
-    assert plain == cut
+    for seconds in (10**10, 5_000):
+        assert plain == rows(temporal.asof_join(spine, past, "user_id", "ts", "h", tie_break=["v"], bucket_seconds=seconds), "event_id")
+
+
+def test_asof_spreads_one_key_and_starts_no_job(spark, table):
+    e = table("events").withColumn("user_id", F.lit(1))
+    spine = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    past = e.filter("event_type <> 'purchase'").select("user_id", F.col("ts").alias("h"), F.col("event_id").alias("v"))
+    context = spark.sparkContext
+    context.setJobGroup("asof", "building the join")
+    joined = temporal.asof_join(spine, past, "user_id", "ts", "h", tie_break=["v"], bucket_seconds=600)
+    assert not context.statusTracker().getJobIdsForGroup("asof")
+    context.setJobGroup("rest", "")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = joined.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(size > 0 for size in sizes) == 8 and max(sizes) < sum(sizes) / 4
+
+
+def test_asof_of_null_keys_and_times(spark):
+    spine = spark.createDataFrame([("a", None, 1), (None, T(2022, 1, 1), 2), ("a", T(2022, 1, 9), 3)], "k string, ts timestamp, i int")
+    hist = spark.createDataFrame([("a", T(2022, 1, 1), 1), ("a", None, 2), (None, T(2022, 1, 1), 3)], "k string, h timestamp, v int")
+    for seconds in (60, 10**9):
+        joined = temporal.asof_join(spine, hist, "k", "ts", "h", tie_break=["v"], bucket_seconds=seconds)
+        assert [r["v"] for r in joined.orderBy("i").collect()] == [None, None, 1]
 
 
 def test_parent_rollup(spark):
