@@ -340,6 +340,59 @@ def test_more_clusters_cost_less(spark):
     assert value[6] < value[2] and set(models) == {2, 6}
 
 
+def plain_lloyd(x, centers, steps):
+    for _ in range(steps):
+        near = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        moved = np.array([x[near == j].mean(0) if (near == j).any() else centers[j] for j in range(len(centers))])
+        if ((moved - centers) ** 2).sum() <= 1e-4 * x.var(0).mean():
+            break
+        centers = moved
+    return centers, ((x[:, None] - centers[None]) ** 2).sum(-1).min(1).sum()
+
+
+def plain_silhouette(x, centers):
+    apart = ((x[:, None] - x[None]) ** 2).sum(-1)
+    near = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+    out = []
+    for i in range(len(x)):
+        same = near == near[i]
+        if same.sum() == 1:
+            out.append(0.0)
+            continue
+        a = apart[i][same].sum() / (same.sum() - 1)
+        b = min(apart[i][near == j].mean() for j in set(near) - {near[i]})
+        out.append((b - a) / max(a, b))
+    return np.mean(out)
+
+
+def test_sweep_equals_plain_fits(spark, monkeypatch):
+    from casewise.operators import sweep
+
+    monkeypatch.setattr(sweep, "BLOCK_ROWS", 37)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 3)) for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(999, None, 1.0, 1.0)], "i long, a double, b double, c double").repartition(5)
+    cols = ["a", "b", "c"]
+    models, table = sweep.kmeans_sweep(df, cols, ks=(2, 3, 7), restarts=3, max_iter=25, key="i", sample=1.0)
+    begun = sweep.starts(df, cols, 7, 3, 42)
+    value = {(r["k"], r["metric"]): r["value"] for r in table.collect()}
+    for k in (2, 3, 7):
+        centers, _ = min((plain_lloyd(x, begun[r][:k], 25) for r in range(3)), key=lambda f: f[1])
+        np.testing.assert_allclose(models[k], centers, atol=1e-9)
+        gap = np.sqrt(((x[:, None] - centers[None]) ** 2).sum(-1).min(1)).mean()
+        assert value[k, "distortion"] == pytest.approx(gap) and value[k, "silhouette"] == pytest.approx(plain_silhouette(x, centers))
+    assert value[3, "silhouette"] > 0.9
+
+
+def test_sweep_of_few_and_no_rows(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (None,)], "a double")
+    models, table = clusters.kmeans_sweep(df, ["a"], ks=(2, 5), restarts=2, max_iter=5)
+    assert {k: sorted(m) for k, m in models.items()} == {2: [[1.0], [2.0]], 5: [[1.0], [2.0]]}
+    assert {r["value"] for r in table.collect()} == {0.0}
+    models, table = clusters.kmeans_sweep(df.limit(0), ["a"], ks=(2,), restarts=2, max_iter=5)
+    assert models == {} and table.count() == 0
+
+
 def irls(x, y, steps=100, tol=1e-4):
     """The documented fit, written out for one small group."""
     b, losses = np.zeros(x.shape[1]), []
