@@ -8,14 +8,13 @@ rows that have both; covariances and cross products on the rows that have all co
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewise.operators.ordered import average_ranks, slice_edges
+from casewise.operators.ordered import average_ranks, running_totals, slice_edges
 
 # Up to here one aggregate holds all pairs in generated code; beyond it each task sums
 # its own D x D block in NumPy and Spark adds the blocks.
@@ -194,20 +193,59 @@ def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
-    """Spearman correlation as ``r``: Pearson of mean ranks, each pair ranked on the rows that have both.
+    """Spearman correlation as ``r``: Pearson of mean ranks, each pair ranked on the rows that have both."""
+    if columns_with_nulls(df, cols):
+        return masked_spearman(df, cols, **options)
+    return complete_spearman(df, cols, **options)
 
-    Columns without NULLs share one ranking; each pair with a NULL column is ranked on its own.
+
+def masked_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
+    """As :func:`spearman`, for columns with NULLs: one ranking serves all pairs.
+
+    Each distinct value of a column counts, for every other column, its rows that have that one too; running totals
+    of these counts are the value's ranks in all pairs at once. Ranks then go back to the (distinct) rows, where each
+    task sums its products per pair. The number of jobs does not depend on the number of columns.
     """
-    holes = set(columns_with_nulls(df, cols))
-    full = [c for c in cols if c not in holes]
-    found = [complete_spearman(df, full, **options)] if full else []
-    for i, a in enumerate(cols):
-        found += [
-            complete_spearman(df, [a, b], **options).filter("var_i <> var_j") for b in cols[i + 1 :] if a in holes or b in holes
-        ]
-        if a in holes:
-            found.append(complete_spearman(df, [a], **options))
-    return reduce(DataFrame.unionByName, found)
+    d = len(cols)
+    numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    values = [f"v{i}" for i in range(d)]
+    edges = slice_edges(numbers, values, **options)
+    has = [F.col(v).isNotNull().cast("long") for v in values]
+    long = F.inline(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).alias("value")) for v in values]))
+    counted = numbers.select(long, *[h.alias(f"h{j}") for j, h in enumerate(has)]).filter(F.col("value").isNotNull())
+    names = [f"n{j}" for j in range(d)]
+    totals = running_totals(counted, "value", {n: F.sum(f"h{j}") for j, n in enumerate(names)}, edges, feature="feature")
+    ranks = totals.select("feature", "value", F.array(*[F.col(f"cum_{n}") - F.col(n) / 2 + 0.5 for n in names]).alias("rank"))
+
+    # Equal rows are one row with a weight, known by two hashes of all their cells.
+    cells = [*values, *[F.isnull(v) for v in values]]
+    rows = numbers.groupBy(*values).agg(F.count("*").alias("w")).select("*", F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"))
+    placed = rows.select("a", "b", "w", long).filter(F.col("value").isNotNull()).join(ranks, ["feature", "value"])
+    again = placed.groupBy("a", "b").agg(F.first("w").alias("w"), F.collect_list(F.struct(F.substring("feature", 2, 9).cast("int").alias("i"), "rank")).alias("r"))
+    sizes = numbers.agg(*[F.sum(has[i] * has[j]) for i in range(d) for j in range(d)]).first()
+    middle = (np.array([n or 0 for n in sizes], dtype=float).reshape(d, d) + 1) / 2
+    i, j = np.triu_indices(d)
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both, square = np.zeros((d, d)), np.zeros((d, d))
+        for batch in batches:
+            for first in range(0, len(batch), 2048):
+                part = batch.iloc[first : first + 2048]
+                rank, there = np.zeros((len(part), d, d)), np.zeros((len(part), d))
+                for n, (at, found) in enumerate(zip(part["i"], part["rank"])):
+                    at = np.asarray(at)
+                    rank[n, at] = np.stack(found) - middle[at]
+                    there[n, at] = 1
+                rank *= there[:, None, :]
+                weighted = rank * part["w"].to_numpy(dtype=float)[:, None, None]
+                both += (weighted * rank.transpose(0, 2, 1)).sum(axis=0)
+                square += (weighted * rank).sum(axis=0)
+        yield pd.DataFrame({"i": i, "j": j, "ab": both[i, j], "aa": square[i, j], "bb": square[j, i]})
+
+    parts = again.select("w", F.col("r.i").alias("i"), F.col("r.rank").alias("rank")).mapInPandas(block, "i int, j int, ab double, aa double, bb double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")])
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("aa") > 0, 1.0)).otherwise(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")))
+    return _named(sums, cols, r.alias("r"))
 
 
 def complete_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:

@@ -586,3 +586,22 @@ def test_linear_scores_hand_rows_through_unchanged_for_large_models(spark):
     found = rows(spread, "id")
     assert found == rows(plain, "id") and [r[:6] for r in found] == values
     assert all((r[6] is None) == (r[1] == 1) for r in found)
+
+
+def test_spearman_of_many_columns_with_nulls(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 20)) + rng.normal(size=(300, 1)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7] = 3.0
+    names = [f"c {i}" for i in range(20)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in [*x, *x[:50]]], ", ".join(f"`{n}` double" for n in names))
+    expected = pd.DataFrame(np.concatenate([x, x[:50]]), columns=names).corr("spearman").to_numpy()
+    context = spark.sparkContext
+    for options in ({}, {"one_task": 20, "slices": 7}):
+        context.setJobGroup("ranks", "")
+        found = stats.spearman(df, names, **options)
+        assert len(context.statusTracker().getJobIdsForGroup("ranks")) <= 20
+        context.setJobGroup("rest", "")
+        matrix = stats.to_matrix(found, names)
+        matrix[7, 7] = np.nan
+        np.testing.assert_allclose(matrix, expected, atol=1e-9)
