@@ -34,6 +34,7 @@ PAD = b"\xff"
 BLOCK_BYTES = 16_000_000
 STEP_BYTES = 2_000_000
 RUN_GRAMS = 100_000
+PACK_ROWS = 500_000
 HALF = np.log(0.5)
 LN10 = np.log(10.0)
 SHIFTS = np.arange(8, 0, -1)
@@ -195,58 +196,93 @@ def _upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), *map(pa.array, sums)], ["node", "zeros", "ones", "below"])
 
 
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
 def block_writer(lowered: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``id, held_out, body`` rows written once with a ``block`` of about ``block_bytes`` each, and read again."""
+    """Rows of ``id, held_out, body`` written once as one row (``block, payload``) for about ``block_bytes`` of texts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"block": uuid.uuid4().int >> 65, "payload": packed(pa.Table.from_batches(held))}])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, room = uuid.uuid4().int >> 65, block_bytes
         for batch in batches:
-            out = []
-            for size in pc.binary_length(batch.column("body")).to_pylist():
-                if room <= 0:
-                    block, room = uuid.uuid4().int >> 65, block_bytes
-                room -= size + 1
-                out.append(block)
-            yield batch.append_column("block", pa.array(out, pa.int64()))
-
-    lowered.mapInArrow(number, "id string, held_out boolean, body binary, block long").write.parquet(f"{folder}/blocks")
+            first = 0
+            for i, length in enumerate(pc.binary_length(batch.column("body")).to_pylist()):
+                size += length + 1
+                if size >= block_bytes:
+                    held.append(batch.slice(first, i + 1 - first))
+                    yield block()
+                    held, size, first = [], 0, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
+            yield block()
+
+    lowered.mapInArrow(pack, "block long, payload binary").write.parquet(f"{folder}/blocks")
     return lowered.sparkSession.read.parquet(f"{folder}/blocks")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Runs of texts of one block, of at most about ``most`` bytes."""
-    block, texts, flags, size = None, [], [], 0
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block: its distinct grams, and its distinct words under gram -1; the empty word is the end."""
     for batch in batches:
-        for b, text, flag in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), batch.column("held_out").to_pylist()):
-            if texts and (b != block or size >= most):
-                yield block, texts, np.array(flags)
-                texts, flags, size = [], [], 0
-            block, size = b, size + len(text)
-            texts.append(text)
-            flags.append(not flag)
-    if texts:
-        yield block, texts, np.array(flags)
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+            rows = unpacked(payload)
+            texts, counted = rows["body"].to_pylist(), ~rows["held_out"].to_numpy()
+            keys, sums = gram_counts(texts, counted)
+            seen, other = Counter(), set()
+            for text, flag in zip(texts, counted):
+                (seen if flag else other).update(text.split())
+            seen[b""] = int(counted.sum())
+            words = sorted(other.union(seen))
+            n = len(keys) + len(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, block)),
+                    pa.array(np.concatenate([keys, np.full(len(words), -1)])),
+                    pa.array([None] * len(keys) + words, pa.binary()),
+                    pa.array(np.concatenate([sums, np.fromiter((seen[w] for w in words), np.int64, len(words))])),
+                ],
+                ["block", "gram", "word", "n"],
+            )
+
+
+def _pack_by_block(kind: int, names: list[str]):
+    """Rows of a task as one payload for each block (of at most ``PACK_ROWS`` rows at once); ``new`` sums a flag of the rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+            blocks = rows["block"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+            parts = [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+            fields = [pa.array(blocks[cuts[:-1]]), pa.array([kind] * len(parts), pa.int32()), pa.array([packed(p.select(names)) for p in parts], pa.binary())]
+            if "new" in rows.column_names:
+                return pa.RecordBatch.from_arrays([*fields, pa.array([int(p["new"].to_numpy().sum()) for p in parts])], ["block", "kind", "payload", "new"])
+            return pa.RecordBatch.from_arrays(fields, ["block", "kind", "payload"])
 
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACK_ROWS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per run of a block: its distinct grams, and its distinct words under gram -1; the empty word is the end."""
-    for block, texts, counted in _runs(batches, BLOCK_BYTES):
-        keys, sums = gram_counts(texts, counted)
-        seen, other = Counter(), set()
-        for text, flag in zip(texts, counted):
-            (seen if flag else other).update(text.split())
-        seen[b""] = int(counted.sum())
-        words = sorted(other.union(seen))
-        n = len(keys) + len(words)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, block)),
-                pa.array(np.concatenate([keys, np.full(len(words), -1)])),
-                pa.array([None] * len(keys) + words, pa.binary()),
-                pa.array(np.concatenate([sums, np.fromiter((seen[w] for w in words), np.int64, len(words))])),
-            ],
-            ["block", "gram", "word", "n"],
-        )
+    return pack
 
 
 def _judge(train_tokens: int, kinds: int):
@@ -255,46 +291,39 @@ def _judge(train_tokens: int, kinds: int):
     floor = np.log10(train_tokens + kinds + 1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tables, words, ready = None, [], {}, None
+        block, tables, words = None, [], {}
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            cuts = np.flatnonzero(np.diff(blocks) | np.diff(kind)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(blocks)]):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if blocks[a] != block:
-                    block, tables, words, ready = blocks[a], [], {}, None
-                if kind[a] == 0:
-                    tables.append((part.column("gram").to_numpy(), part.column("log").to_numpy()))
-                elif kind[a] == 1:
-                    words.update(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
+            for at, kind, payload in zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("payload")):
+                if at != block:
+                    block, tables, words = at, [], {}
+                rows = unpacked(payload)
+                if kind == 0:
+                    tables.append(rows)
+                elif kind == 1:
+                    words.update(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
                 else:
-                    if ready is None:
-                        grams = np.concatenate([g for g, _ in tables])
-                        order = np.argsort(grams)
-                        ready = grams[order], np.concatenate([x for _, x in tables])[order]
-                        logs = {w: np.log10(n + 1) for w, n in words.items()}
-                    yield scored(part, ready, words, logs)
-
-    def scored(part, ready, words, logs):
-        texts, out = part.column("body").to_pylist(), []
-        end, end_known = logs[b""], words[b""] > 0
+                    grams = pa.concat_tables(tables)
+                    keys, logs = grams["gram"].to_numpy(), grams["log"].to_numpy()
+                    order = np.argsort(keys)
+                    yield scored(rows, keys[order], logs[order], words)
+
+    def scored(rows: pa.Table, keys: np.ndarray, logs: np.ndarray, words: dict[bytes, int]) -> pa.RecordBatch:
+        texts, out = rows["body"].to_pylist(), []
         scores = np.zeros(len(texts))
         for owners, parts in pieces(texts):
             grams, starts, ends = laid_out(parts)
-            sums = np.concatenate([[0.0], np.cumsum(ready[1][np.searchsorted(ready[0], grams).clip(max=len(ready[0]) - 1)])])
+            sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, grams).clip(max=len(keys) - 1)])])
             np.add.at(scores, owners, sums[ends] - sums[starts])
+        heights = {w: np.log10(n + 1) for w, n in words.items()}
         for text, score in zip(texts, scores):
-            tokens = text.split()
-            known = sum(map(bool, map(words.__getitem__, tokens))) + end_known
-            base = sum(map(logs.__getitem__, tokens)) + end - floor * (len(tokens) + 1)
-            out.append((len(tokens) + 1, known, base, score))
-        columns = zip(*out)
-        kinds_of = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        arrays = [part.column("id"), part.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, kinds_of)]]
-        return pa.RecordBatch.from_arrays(arrays, names)
+            tokens = [*text.split(), b""]
+            known = sum(map(bool, map(words.__getitem__, tokens)))
+            base = sum(map(heights.__getitem__, tokens)) - floor * len(tokens)
+            out.append((len(tokens), known, base, score))
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        judged = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+        whole = rows.combine_chunks()
+        return pa.RecordBatch.from_arrays([whole["id"].chunk(0), whole["held_out"].chunk(0), *judged], names)
 
     return judge
 
@@ -315,8 +344,7 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     blocks = block_writer(lowered, folder, block_bytes)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    gathered = blocks.select("block", "held_out", "body").mapInArrow(_gather, "block long, gram long, word binary, n long")
-    gathered.write.parquet(f"{folder}/gathered")
+    blocks.mapInArrow(_gather, "block long, gram long, word binary, n long").write.parquet(f"{folder}/gathered")
     gathered = spark.read.parquet(f"{folder}/gathered")
     grams, words = gathered.where("gram >= 0").select("block", "gram", "n"), gathered.where("gram < 0").select("block", "word", "n")
 
@@ -326,27 +354,31 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     upper = tree.mapInArrow(_upper, "node long, zeros double, ones double, below double").groupBy("node")
     top = upper.agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
     node = top["node"].to_numpy(np.int64)
-    model = spark.sparkContext.broadcast(Top(node >> 8, node & 255, *(top[c].to_numpy(float) for c in ("zeros", "ones", "below"))))
+    model = Top(node >> 8, node & 255, *(top[c].to_numpy(float) for c in ("zeros", "ones", "below")))  # goes with the tasks: four arrays of 65,536
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _subtrees(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.value.logs(keys, counts))], ["gram", "log"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.logs(keys, counts))], ["gram", "log"])
 
-    logs = grams.select("block", "gram").join(tree.mapInArrow(weigh, "gram long, log double"), "gram")
-    total = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = words.select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("n"))
+    form = "block long, kind int, payload binary"
+    logs = grams.select("block", "gram").join(tree.mapInArrow(weigh, "gram long, log double"), "gram").select("block", "gram", "log")
+    logs = logs.mapInArrow(_pack_by_block(0, ["gram", "log"]), form)
 
-    def rows(df: DataFrame, kind: int) -> DataFrame:
-        wanted = {"id": "string", "held_out": "boolean", "body": "binary", "gram": "long", "log": "double", "word": "binary", "n": "long"}
-        return df.select("block", F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+    alike = Window.partitionBy("word")
+    counted = words.select("block", "word", F.sum("n").over(alike).alias("n"), F.row_number().over(alike.orderBy("block")).alias("row"))
+    counted = counted.select("block", "word", "n", ((F.col("row") == 1) & (F.col("n") > 0)).cast("long").alias("new"))
+    counted.mapInArrow(_pack_by_block(1, ["word", "n"]), f"{form}, new long").write.parquet(f"{folder}/words")
+    counted = spark.read.parquet(f"{folder}/words")
+    tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kinds = counted.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
 
-    together = rows(logs, 0).unionByName(rows(counts, 1)).unionByName(rows(blocks, 2))
+    together = logs.unionByName(counted.drop("new")).unionByName(blocks.select("block", F.lit(2).alias("kind"), "payload"))
     dealt = together.repartition(parts, "block").sortWithinPartitions("block", "kind")
     judged = dealt.mapInArrow(
-        _judge(int(total[0]), int(total[1])), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _judge(int(tokens), int(kinds)), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return judged.select(
-        F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(total[0])).cast("long").alias("train_tokens"), "base_score", "score"
+        F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
