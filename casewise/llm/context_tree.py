@@ -300,26 +300,24 @@ def _judge(train_tokens: int, kinds: int):
                 if kind == 0:
                     tables.append(rows)
                 elif kind == 1:
-                    words.update(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
+                    words.update(zip(rows["word"].to_pylist(), np.log10(rows["n"].to_numpy() + 1).tolist()))
                 else:
                     grams = pa.concat_tables(tables)
                     keys, logs = grams["gram"].to_numpy(), grams["log"].to_numpy()
                     order = np.argsort(keys)
                     yield scored(rows, keys[order], logs[order], words)
 
-    def scored(rows: pa.Table, keys: np.ndarray, logs: np.ndarray, words: dict[bytes, int]) -> pa.RecordBatch:
+    def scored(rows: pa.Table, keys: np.ndarray, logs: np.ndarray, words: dict[bytes, float]) -> pa.RecordBatch:
         texts, out = rows["body"].to_pylist(), []
         scores = np.zeros(len(texts))
         for owners, parts in pieces(texts):
             grams, starts, ends = laid_out(parts)
             sums = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, grams).clip(max=len(keys) - 1)])])
             np.add.at(scores, owners, sums[ends] - sums[starts])
-        heights = {w: np.log10(n + 1) for w, n in words.items()}
         for text, score in zip(texts, scores):
             tokens = [*text.split(), b""]
-            known = sum(map(bool, map(words.__getitem__, tokens)))
-            base = sum(map(heights.__getitem__, tokens)) - floor * len(tokens)
-            out.append((len(tokens), known, base, score))
+            heights = list(map(words.__getitem__, tokens))  # log10(count + 1)
+            out.append((len(tokens), len(tokens) - heights.count(0.0), sum(heights) - floor * len(tokens), score))
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         judged = [pa.array(c, t) for c, t in zip(zip(*out), types)]
         whole = rows.combine_chunks()
