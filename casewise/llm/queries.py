@@ -64,7 +64,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
