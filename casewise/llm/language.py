@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.llm.common import body
+from casewise.llm.prefix_trie import DoubleArray
 
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
 CHUNK = 32
@@ -42,23 +43,51 @@ def chunks(word: str) -> list[str]:
     return [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
 
 
-def _grids(words: list[str], pieces: dict[str, int], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class PieceTrie:
+    """The pieces as a double-array trie, so that a look-up stops at the first prefix that no piece has."""
+
+    def __init__(self, pieces: dict[str, int]):
+        letters = sorted({c for name in pieces for c in name})
+        #: Codes of all code points; letters of no piece share one code without a child.
+        self.codes = np.full(0x110000, len(letters), np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(len(letters))
+        names = list(pieces)
+        trie = DoubleArray([self.codes[[ord(c) for c in name]] for name in names])
+        last = np.zeros(len(names), np.int64)
+        for _, live, place in trie.walk():
+            last[live] = place
+        room = len(letters) + 1
+        self.base = trie.base
+        self.check = np.concatenate([trie.check, np.full(room, -1)])
+        self.piece = np.full(len(self.check), -1, np.int32)
+        self.piece[last] = [pieces[name] for name in names]
+        self.longest = max(map(len, names), default=1)
+        self.unknown = len(pieces)
+
+
+def _grids(words: list[str], trie: PieceTrie, longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per word length: the words' indices and piece ids by (word, start, piece length - 1); -1 is no piece."""
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         by_length.setdefault(len(word), []).append(i)
-    unknown, get = len(pieces), pieces.get
     for n, where in by_length.items():
+        wide = min(n, longest or trie.longest)
         for part in range(0, len(where), 2048):
             some = where[part : part + 2048]
-            wide = min(n, longest)
-            ids = np.full((len(some), n, wide), -1, np.int32)
-            for row, i in enumerate(some):
-                word = words[i]
-                for a in range(n):
-                    ids[row, a, : min(wide, n - a)] = [get(word[a:b], -1) for b in range(a + 1, min(n, a + wide) + 1)]
-            ids[:, :, 0] = np.where(ids[:, :, 0] < 0, unknown, ids[:, :, 0])
-            yield np.asarray(some), ids
+            codes = trie.codes[np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass"), "<u4")]
+            ids = np.full((len(codes), wide), -1, np.int32)
+            live, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+            for size in range(1, wide + 1):
+                fits = live % n + size <= n
+                live, state = live[fits], state[fits]
+                place = trie.base[state] + codes[live + size - 1]
+                goes = trie.check[place] == state
+                live, state = live[goes], place[goes]
+                if not len(live):
+                    break
+                ids[live, size - 1] = trie.piece[state]
+            ids[:, 0] = np.where(ids[:, 0] < 0, trie.unknown, ids[:, 0])
+            yield np.asarray(some), ids.reshape(len(some), n, wide)
 
 
 def _forward(ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
@@ -72,12 +101,12 @@ def _forward(ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return sums
 
 
-def expected_counts(words: list[str], times: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+def expected_counts(words: list[str], times: np.ndarray, trie: PieceTrie) -> np.ndarray:
     """Expected piece counts under equal piece probabilities (forward and backward sums)."""
-    total = np.zeros(len(pieces) + 1)
-    probs = np.full((len(pieces) + 2, 1), 1.0 / len(pieces))
+    total = np.zeros(trie.unknown + 1)
+    probs = np.full((trie.unknown + 2, 1), 1.0 / trie.unknown)
     probs[-2], probs[-1] = UNKNOWN, 0.0
-    for where, ids in _grids(words, pieces, longest):
+    for where, ids in _grids(words, trie):
         rows, n, wide = ids.shape
         ahead = _forward(ids, probs)[:, :, 0]
         back = np.zeros((rows, n + 1))
@@ -101,9 +130,8 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
     The result has one row per vocabulary piece and one column per language.
     """
     pieces = read_pieces(path)
-    longest = max(map(len, pieces), default=1)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pieces)
+    trie = PieceTrie(pieces)
     named = docs.where("lang is not null")
     bounds = [(r["lang"], HASHES * sample // max(r["count"], sample)) for r in named.groupBy("lang").count().collect()]
     limits = F.broadcast(spark.createDataFrame(bounds, "lang string, _bound long"))
@@ -121,7 +149,7 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
         for frame in frames:
             for lang, part in frame.groupby("lang", sort=False):
                 cut = [(c, n) for w, n in zip(part["word"], part["n"]) for c in chunks(w)]
-                got = expected_counts([c for c, _ in cut], np.array([n for _, n in cut], float), shared.value, longest)
+                got = expected_counts([c for c, _ in cut], np.array([n for _, n in cut], float), trie)
                 sums[lang] = sums[lang] + got if lang in sums else got
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -141,22 +169,51 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_DOCS) -
     return langs, pieces, probs
 
 
-def word_scores(words: list[str], pieces: dict[str, int], probs: np.ndarray, longest: int) -> np.ndarray:
-    """Natural log of each word's probability, by language."""
+def word_scores(words: list[str], pieces: dict[str, int] | PieceTrie, probs: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Natural log of each word's probability, by language; with pieces of at most ``longest`` letters, if given."""
+    trie = pieces if isinstance(pieces, PieceTrie) else PieceTrie(pieces)
     out = np.zeros((len(words), probs.shape[1]))
-    for where, ids in _grids(words, pieces, longest):
+    for where, ids in _grids(words, trie, longest):
         out[where] = np.log(_forward(ids, probs)[:, -1])
     return out
 
 
+class Scores:
+    """Tokens seen by a task: the rows of ``logs`` (by language) of the letter runs in each."""
+
+    def __init__(self, languages: int):
+        import regex
+
+        self.find, self.languages = regex.compile(LETTERS).findall, languages
+        self.words: dict[str, list[int]] = {}
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((0, languages))
+
+    def add(self, tokens: set[str], trie: PieceTrie, probs: np.ndarray) -> None:
+        if len(self.words) + len(tokens.difference(self.words)) > CACHE:
+            self.words, self.rows, self.logs = {}, {}, np.zeros((0, self.languages))
+        new = []
+        for token in tokens.difference(self.words):
+            found = self.find(token)
+            for word in found:
+                if word not in self.rows:
+                    self.rows[word] = len(self.rows)
+                    new.append(word)
+            self.words[token] = [self.rows[word] for word in found]
+        cut = [(i, c) for i, word in enumerate(new) for c in chunks(word)]
+        more = np.zeros((len(new), self.languages))
+        if cut:
+            np.add.at(more, [i for i, _ in cut], word_scores([c for _, c in cut], trie, probs))
+        self.logs = np.concatenate([self.logs, more])
+
+
 def detect(docs: DataFrame, langs: list[str], pieces: dict[str, int], probs: np.ndarray) -> DataFrame:
     """``docs`` (any columns, one of them ``text``) with ``lang_pred`` and ``score`` added.
 
     The score is the best language's posterior under equal priors. A text that is null or without a
     letter, or any text when no language was learned, gets ``und`` and 0. Ties go to the first language by name.
     """
-    model = docs.sparkSession.sparkContext.broadcast((pieces, probs))
-    longest = max(map(len, pieces), default=1)
+    trie = PieceTrie(pieces)
 
     def grouped(texts: pd.Series) -> Iterator[list]:
         """Texts in runs of about ``GROUP_CHARS``, so that new words are scored together."""
@@ -170,26 +227,20 @@ def detect(docs: DataFrame, langs: list[str], pieces: dict[str, int], probs: np.
         if held:
             yield held
 
-    def scored(texts: list, cache: dict[str, np.ndarray]) -> pd.DataFrame:
-        import regex
-
-        find = regex.compile(LETTERS).findall
-        vocabulary, table = model.value
-        counts = [Counter(find(text.lower())) if text else Counter() for text in texts]
-        new = list({w for c in counts for w in c}.difference(cache)) if langs else []
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for c in counts for w in c}) if langs else []
-        cut = [(w, c) for w in new for c in chunks(w)]
-        for (w, _), row in zip(cut, word_scores([c for _, c in cut], vocabulary, table, longest)):
-            cache[w] = cache[w] + row if w in cache else row
+    def scored(texts: list, cache: Scores) -> pd.DataFrame:
+        # White space splits no letter run, so the runs of distinct tokens are those of the text.
+        counts = [Counter(text.lower().split()) if text else Counter() for text in texts]
+        if langs:
+            cache.add({t for c in counts for t in c}, trie, probs)
         names, scores = [], []
         for found in counts:
-            if not found or not langs:
+            at = [i for token in found for i in cache.words[token]] if langs else []
+            if not at:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            logs = np.fromiter(found.values(), float, len(found)) @ np.array([cache[w] for w in found])
+            times = [n for token, n in found.items() for _ in cache.words[token]]
+            logs = np.array(times, float) @ cache.logs[at]
             best = int(np.argmax(logs))
             names.append(langs[best])
             scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
@@ -197,7 +248,7 @@ def detect(docs: DataFrame, langs: list[str], pieces: dict[str, int], probs: np.
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        cache = Scores(len(langs))
         for texts in parts:
             yield pd.concat([scored(group, cache) for group in grouped(texts)] or [scored([], cache)], ignore_index=True)
 
