@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import UPPER, WORD, row_key, saved
+from casewise.llm.common import row_key, saved
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -19,7 +19,8 @@ RECALL = 0.9999
 HASHES = 128
 BLOCK_ROWS = 1024
 BLOCK_GRAMS = 2_000_000
-PRIME = (1 << 31) - 1
+CACHE = 300_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -33,45 +34,53 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: in
     return best
 
 
-def gram_set(text: str | None, find, lower, gram: int = GRAM) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one gram."""
+def gram_set(text: str | None, find, digests: dict[bytes, int], gram: int = GRAM) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams, each mixed from the hashes of its words in order; a shorter text is one gram."""
     import xxhash
 
-    words = find(text.translate(lower)) if text else []
+    words = find(text.encode("utf-8", "surrogatepass").lower()) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    grams = [" ".join(words[i : i + gram]) for i in range(max(1, len(words) - gram + 1))]
-    return np.unique(np.fromiter((digest(g.encode("utf-8", "surrogatepass")) for g in grams), np.uint64, len(grams)))
+    if len(digests) > CACHE:
+        digests.clear()
+    for word in set(words).difference(digests):
+        digests[word] = xxhash.xxh3_64_intdigest(word)
+    each = np.fromiter(map(digests.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - gram + 1)
+    mixed = np.full(n, min(gram, len(words)), np.uint64)
+    for i in range(min(gram, len(words))):
+        mixed = (mixed ^ each[i : i + n]) * ODD
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
 
 
 def _tools():
-    import regex
+    """A finder of words in lower-case UTF-8, and an empty store of their hashes."""
+    import re
 
-    return regex.compile(WORD).findall, str.maketrans(UPPER, UPPER.lower())
+    return re.compile(rb"[0-9a-z\x80-\xff]+").findall, {}
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, gram: int = GRAM) -> DataFrame:
     """``doc_id, k, sh, n, bands``: the row's key, a digest of the n-gram set, its size, and one hash per band."""
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, lower = _tools()
+        find, digests = _tools()
         draw = np.random.default_rng(7)
-        a = draw.integers(1, PRIME, bands * rows, dtype=np.uint64)
-        b = draw.integers(0, PRIME, bands * rows, dtype=np.uint64)
+        a = draw.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
         mix = draw.integers(1, 1 << 62, rows, dtype=np.uint64) | np.uint64(1)
         for frame in frames:
             out = []
             for text in frame["text"]:
-                grams = gram_set(text, find, lower, gram)
+                grams = gram_set(text, find, digests, gram)
                 if not len(grams):
                     out.append((None, 0, None))
                     continue
-                low = np.full(bands * rows, PRIME, np.uint64)
-                base = (grams ^ (grams >> np.uint64(32))) % np.uint64(PRIME)
-                for part in range(0, len(base), 4096):
-                    some = base[part : part + 4096, None]
-                    low = np.minimum(low, ((some * a + b) % np.uint64(PRIME)).min(axis=0))
+                low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+                for part in range(0, len(grams), 512):
+                    # Products wrap at 2**64.
+                    low = np.minimum(low, (grams[part : part + 512, None] * a + b).min(axis=0))
                 keys = (low.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64)
                 keys ^= keys >> np.uint64(29)
                 out.append((hashlib.md5(grams.tobytes()).hexdigest(), len(grams), keys.view(np.int64)))
@@ -105,10 +114,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(similarity: float, gram: int):
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        find, lower = _tools()
+        find, digests = _tools()
         frame = frame.sort_values("sh", ignore_index=True)
         m, band, i, j = len(frame), int(frame["band"][0]), int(frame["i"][0]), int(frame["j"][0])
-        sets = [gram_set(t, find, lower, gram) for t in frame["text"]]
+        sets = [gram_set(t, find, digests, gram) for t in frame["text"]]
         sizes = np.array([len(s) for s in sets], float)
         common = overlaps(sets)
         near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
