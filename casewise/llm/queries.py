@@ -79,7 +79,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     rans.write(table(spark, sf_dir, "documents"), folder)
-    return rans.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rans.read_digests(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @register

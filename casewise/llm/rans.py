@@ -11,9 +11,13 @@ Lane ``l`` holds tokens ``l, l + lanes, ...`` of its block.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +31,95 @@ END = 1
 BITS = 20
 LOW = 1 << 31
 BLOCK = 1 << 16
+CHARS = 1_000_000
+CACHE = 1_000_000
+MARKS = ".,;:!?"
+PLAIN_END, SPECIAL = "\u0250", "\u0130"  # Latin letters keep to one letter each in lower case and NFC, but for one
+SEPARATORS = re.compile("[\x1c-\x1f]")
+# Patterns of pre-tokenizers whose matches hold no white space and do not look at it.
+WITHOUT_SPACE = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 HEAD = "<4sIIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
 
 
+def by_runs(tokenizer) -> bool:
+    """Whether the ids of a text are those of its runs between white space: the pre-tokenizer keeps no white space, its
+    patterns look at none, and no added token holds or borders on any."""
+    state = json.loads(tokenizer.to_str())
+    steps = (state["pre_tokenizer"] or {}).get("pretokenizers", [])
+    first = steps[0] if steps else {}
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"].get("Regex") in WITHOUT_SPACE
+    plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]] for t in state["added_tokens"])
+    return bool(drops and plain and added)
+
+
+def encoded(tokenizer, split: bool, texts: list[str], store: dict[str, bytes], kind: str = "<u4") -> list[bytes]:
+    """Ids of each text as bytes; ``store`` keeps those of runs between white space, and of words, for the next call."""
+
+    def apart(some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    if not split:
+        return apart(texts)
+    # Separators that are white space to Python but not to the pre-tokenizer stay for the library.
+    runs = [[text] if SEPARATORS.search(text) else text.split() for text in texts]
+    if len(store) > CACHE:
+        store.clear()
+    new = set().union(*runs).difference(store)
+    # A word with marks behind it is two pre-tokens: letters never join with the marks.
+    heads = {}
+    for run in new:
+        head = run.rstrip(MARKS)
+        if head.isascii():
+            if head.isalpha():
+                heads[run] = head.lower()
+        elif head.isalpha() and max(head) < PLAIN_END and SPECIAL not in head:
+            heads[run] = head
+    words = list(set(heads.values()).difference(store))
+    for first in range(0, len(words), 2000):
+        some = words[first : first + 2000]
+        store.update(zip(some, words_encoded(tokenizer, some, kind) or apart(some)))
+    rest = list({run[len(head) :] for run, head in heads.items()}.union(new.difference(heads)).difference(store, [""]))
+    store.update(zip(rest, apart(rest)))
+    for run, head in heads.items():
+        if len(run) > len(head):
+            store[run] = store[head] + store[run[len(head) :]]
+        elif run != head:
+            store[run] = store[head]
+    return [b"".join(map(store.__getitem__, some)) for some in runs]
+
+
+def words_encoded(tokenizer, words: list[str], kind: str) -> list[bytes] | None:
+    """Ids of words of letters, encoded as one text and cut behind the pieces that end a word; None if a word has several ends."""
+    ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, kind)
+    cuts = ((np.flatnonzero(ends_word(tokenizer)[ids]) + 1) * ids.itemsize).tolist()
+    flat = ids.tobytes()
+    return [flat[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(words) else None
+
+
+@lru_cache(maxsize=1)
+def ends_word(tokenizer) -> np.ndarray:
+    out = np.zeros(tokenizer.get_vocab_size(), bool)
+    for piece, i in tokenizer.get_vocab().items():
+        out[i] = piece.endswith("</w>")
+    return out
+
+
+def id_type(path: str | None = None) -> str:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json")).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """``doc_id, ids`` (u32 little-endian, the end id last); null is the empty text."""
+    """``doc_id, ids`` (little-endian, the end id last); null is the empty text.
+
+    Ids take two bytes if the vocabulary allows it, else four. The library encodes each distinct run of a text between
+    white space once per task and the runs' ids are joined, where its pre-tokenizer drops white space (:func:`by_runs`).
+    """
+    kind = id_type(path)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -42,23 +129,30 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        split = by_runs(tokenizer)
+        store: dict[str, bytes] = {}
+        last = np.array([end], kind).tobytes()
         for frame in frames:
-            out = []
-            for first in range(0, len(frame), 64):
-                got = tokenizer.encode_batch(frame["text"].iloc[first : first + 64].tolist(), add_special_tokens=False)
-                out += [np.array([*e.ids, end], "<u4").tobytes() for e in got]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": out})
+            out, held, chars = [], [], 0
+            for text in frame["text"]:
+                held.append(text)
+                chars += len(text)
+                if chars >= CHARS:
+                    out += encoded(tokenizer, split, held, store, kind)
+                    held, chars = [], 0
+            out += encoded(tokenizer, split, held, store, kind)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [ids + last for ids in out]})
 
     return docs.select(F.col("doc_id").cast("string"), body().alias("text")).mapInPandas(encode, "doc_id string, ids binary").select(
         F.col("doc_id").cast("long"), "ids"
     )
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
+def token_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for frame in frames:
-            got = np.bincount(np.frombuffer(b"".join(frame["ids"]), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(frame["ids"]), kind))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -141,7 +235,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     spark = docs.sparkSession
     tokenized(docs, path).write.parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
-    counts = token_counts(tokens).orderBy("id").toPandas()
+    kind = id_type(path)
+    counts = token_counts(tokens, kind).orderBy("id").toPandas()
     ids = counts["id"].to_numpy()
     freq = quantised(counts["n"].to_numpy()) if len(ids) else np.zeros(0, np.int64)
     spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freq)], "id long, freq long").coalesce(1).write.parquet(f"{folder}/table")
@@ -169,10 +264,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
         for frame in frames:
             rows, waiting = [], sum(map(len, held))
             for doc_id, raw in zip(frame["doc_id"], frame["ids"]):
-                n = len(raw) // 4
+                n = len(raw) // np.dtype(kind).itemsize
                 rows.append((shard, seq, doc_id, first, n, None))
                 seq, first, waiting = seq + 1, first + n, waiting + n
-                held.append(np.frombuffer(raw, "<u4"))
+                held.append(np.frombuffer(raw, kind))
                 if waiting >= BLOCK:
                     rows += blocks(False)
                     waiting = len(held[0])
@@ -185,10 +280,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
         pack, "shard int, seq long, doc_id string, first long, n_tokens long, payload binary"
     )
     packed.write.parquet(f"{folder}/packed")
+    raw = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tokens")  # packed by now
+    raw.getFileSystem(spark._jsc.hadoopConfiguration()).delete(raw, True)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard, seq, doc_id, start, n_tokens, ids`` of each document, decoded from its blocks."""
+def _pieces(spark: SparkSession, folder: str, fields: str, piece) -> tuple[DataFrame, DataFrame]:
+    """Documents with their first token in the whole file, and the decoded pieces that their blocks hold of them."""
     packed = spark.read.parquet(f"{folder}/packed")
     rows = spark.read.parquet(f"{folder}/table").orderBy("id").toPandas()
     shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["freq"].to_numpy()))
@@ -199,8 +296,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
     # A document's pieces: one row for each block that holds some of its ids.
     last = F.floor((F.col("first") + F.col("n_tokens") - 1) / BLOCK)
-    pieces = heads.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)))
-    wanted = pieces.groupBy("shard", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "first", "n_tokens"))).alias("docs"))
+    cut = heads.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)))
+    wanted = cut.groupBy("shard", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "first", "n_tokens"))).alias("docs"))
     blocks = packed.where("payload is not null").select("shard", F.col("seq").alias("block"), "payload")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,15 +306,45 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for row in frame.itertuples():
                 tokens = coder.decode(row.payload).astype("<u4")
                 first = np.asarray(row.firsts) - row.block * BLOCK
-                cuts = zip(np.maximum(first, 0), first + np.asarray(row.sizes))
-                yield pd.DataFrame({"shard": row.shard, "block": row.block, "seq": row.seqs, "part": [tokens[a:b].tobytes() for a, b in cuts]})
+                cuts = zip(np.maximum(first, 0), np.minimum(first + np.asarray(row.sizes), len(tokens)))
+                yield pd.DataFrame({"shard": row.shard, "block": row.block, "seq": row.seqs, **piece([tokens[a:b].tobytes() for a, b in cuts])})
 
     lists = [F.col("docs.seq").alias("seqs"), F.col("docs.first").alias("firsts"), F.col("docs.n_tokens").alias("sizes")]
-    parts = blocks.join(wanted.select("shard", "block", *lists), ["shard", "block"]).mapInPandas(unpack, "shard int, block long, seq long, part binary")
+    parts = blocks.join(wanted.select("shard", "block", *lists), ["shard", "block"]).mapInPandas(unpack, f"shard int, block long, seq long, {fields}")
+    placed = heads.join(bases, "shard").select("shard", "seq", "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens")
+    return placed, parts
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """``shard, seq, doc_id, start, n_tokens, ids`` of each document, decoded from its blocks; ids are u32 little-endian.
+
+    Null ids come first and keep their place; an empty text has its end id alone; equal ids are in the order they were written.
+    """
+    placed, parts = _pieces(spark, folder, "part binary", lambda found: {"part": found})
     whole = parts.groupBy("shard", "seq").agg(F.sort_array(F.collect_list(F.struct("block", "part"))).alias("_p"))
     ids = F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p.part))
-    return (
-        heads.join(whole, ["shard", "seq"])
-        .join(bases, "shard")
-        .select("shard", "seq", "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", ids.alias("ids"))
-    )
+    return placed.join(whole, ["shard", "seq"]).select(*placed.columns, ids.alias("ids"))
+
+
+def joined_crc(pieces: list) -> int:
+    """crc32 of byte strings in a row from ``(crc32, length)`` of each: crc32 is linear but for its start."""
+    total = 0
+    for crc, size in pieces:
+        zeros = bytes(size)
+        total = zlib.crc32(zeros, total) ^ zlib.crc32(zeros) ^ crc
+    return total
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``shard, seq, doc_id, start, n_tokens, ids_crc32`` as :func:`read` decodes them; ids stay in the tasks, only checksums of pieces travel."""
+
+    def piece(found: list[bytes]) -> dict:
+        return {"crc": [zlib.crc32(b) for b in found], "size": [len(b) for b in found]}
+
+    @F.pandas_udf("long")
+    def joined(lists: pd.Series) -> pd.Series:
+        return pd.Series([joined_crc([(p["crc"], p["size"]) for p in some]) for some in lists], dtype="int64")
+
+    placed, parts = _pieces(spark, folder, "crc long, size int", piece)
+    whole = parts.groupBy("shard", "seq").agg(F.sort_array(F.collect_list(F.struct("block", "crc", "size"))).alias("_p"))
+    return placed.join(whole, ["shard", "seq"]).select(*placed.columns, joined("_p").alias("ids_crc32"))
