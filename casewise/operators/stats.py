@@ -225,6 +225,15 @@ def masked_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
     sizes = numbers.agg(*[F.sum(has[i] * has[j]) for i in range(d) for j in range(d)]).first()
     middle = (np.array([n or 0 for n in sizes], dtype=float).reshape(d, d) + 1) / 2
     i, j = np.triu_indices(d)
+    if d <= NATIVE_COLUMNS:
+        of = again.select("w", *[F.get(F.filter("r", _of_column(at)), F.lit(0)).getField("rank").alias(f"r{at}") for at in range(d)])
+
+        def rank(a: int, b: int) -> Column:
+            return F.when(F.col(f"r{b}").isNotNull(), F.get(f"r{a}", F.lit(b)) - float(middle[a, b]))
+
+        cells = [F.struct(F.lit(int(a)).alias("i"), F.lit(int(b)).alias("j"), *[F.sum(F.col("w") * x * y).alias(n) for n, x, y in (
+            ("ab", rank(a, b), rank(b, a)), ("aa", rank(a, b), rank(a, b)), ("bb", rank(b, a), rank(b, a)))]) for a, b in zip(i, j)]
+        return _named(of.agg(F.array(*cells).alias("c")).select(F.inline("c")), cols, _rank_correlation().alias("r"))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both, square = np.zeros((d, d)), np.zeros((d, d))
@@ -244,8 +253,15 @@ def masked_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
 
     parts = again.select("w", F.col("r.i").alias("i"), F.col("r.rank").alias("rank")).mapInPandas(block, "i int, j int, ab double, aa double, bb double")
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")])
-    r = F.when(F.col("i") == F.col("j"), F.when(F.col("aa") > 0, 1.0)).otherwise(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")))
-    return _named(sums, cols, r.alias("r"))
+    return _named(sums, cols, _rank_correlation().alias("r"))
+
+
+def _of_column(at: int) -> Callable[[Column], Column]:
+    return lambda cell: cell.getField("i") == at
+
+
+def _rank_correlation() -> Column:
+    return F.when(F.col("i") == F.col("j"), F.when(F.col("aa") > 0, 1.0)).otherwise(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")))
 
 
 def complete_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
