@@ -230,6 +230,16 @@ def bin_column(col: str | Column, edges: Sequence[float]) -> Column:
     return F.when(x.isNotNull(), index)
 
 
+def below(col: Column, edges: Sequence[float]) -> Column:
+    """How many of the ascending edges lie below the value, by binary search; for many edges."""
+    if not edges:
+        return F.when(col.isNotNull(), 0)
+    table = F.array(*map(F.lit, edges))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    reach = lambda at, step: (at + step <= len(edges)) & (F.get(table, at + step - 1) < col)
+    return F.when(col.isNotNull(), F.aggregate(steps, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at)))
+
+
 def quantile_bins(df: DataFrame, col: str, bins: int, out: str = "bin", **options) -> DataFrame:
     """Equal-frequency bins by exact quantile edges, equal edges merged."""
     edges = quantile_table(df, [col], [i / bins for i in range(bins + 1)], **options)[col]

@@ -605,3 +605,37 @@ def test_spearman_of_many_columns_with_nulls(spark):
         matrix = stats.to_matrix(found, names)
         matrix[7, 7] = np.nan
         np.testing.assert_allclose(matrix, expected, atol=1e-9)
+
+
+def _exact_mic(x, y, alpha):
+    """Every way of cutting one axis into runs of values, the other in equal frequency."""
+    from itertools import combinations
+
+    n, best = len(x), 0.0
+    budget = max(n**alpha, 4.0)
+    for fixed, free in ((x, y), (y, x)):
+        steps = sorted(set(free))
+        for rows in range(2, int(budget // 2) + 1):
+            row = [int((sum(w < v for w in fixed) + sum(w == v for w in fixed) / 2) * rows / n) for v in fixed]
+            for cuts in range(1, int(budget // rows)):
+                for at in combinations(steps[1:], cuts):
+                    cells = list(zip(row, (sum(v >= a for a in at) for v in free)))
+                    info = sum(
+                        cells.count(k) / n * np.log(cells.count(k) * n / (row.count(k[0]) * sum(c[1] == k[1] for c in cells))) for k in set(cells)
+                    )
+                    best = max(best, info / np.log(min(rows, cuts + 1)))
+    return best
+
+
+def test_mic_is_the_best_over_all_cuts(spark):
+    x = [3.0, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    y = [2.0, 7, 1, 8, 2, 8, 1, 8, 2, 8, 4, 5]
+    z = [v * v for v in x]
+    rows = [*zip(y, x, z, range(12)), (1.0, None, None, None), (None, 1.0, 1.0, 1)]
+    df = spark.createDataFrame([(*map(lambda v: None if v is None else float(v), r), 1.0) for r in rows], "y double, x double, z double, i double, one double")
+    got = {parts: {r["feature"]: r["mic"] for r in information.mic(df.repartition(parts), "y", ["x", "z", "i", "one"], alpha=0.95).collect()} for parts in (1, 5)}
+    assert got[1] == got[5]
+    for name, values in (("x", x), ("z", z), ("i", list(range(12)))):
+        assert got[1][name] == pytest.approx(_exact_mic(values, y, 0.95), abs=1e-4), name
+    assert got[1]["one"] == 0.0
+    assert information.mic(df.where("false"), "y", ["x"]).collect() == []
