@@ -77,6 +77,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows themselves, each as often as the mix takes it, columns unchanged."""
-    rows = with_copies(docs, **options).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows themselves, each as often as the mix takes it, columns unchanged whatever their names.
+
+    A row without words has no size and is taken like others of its source; null texts, null sources, repeated rows
+    and empty tables are as in ``mix``. Texts of any length are carried whole.
+    """
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    rows = with_copies(packed, **options).where("_copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -21,18 +21,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows packed, so that none of their columns clashes with the key."""
+    return docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_row_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class, the first by (id with nulls last, row key); of rows equal in id and text, one."""
     chosen = jaccard.classes(docs.select("doc_id", "text")).where("chosen").select(F.col("k").alias("_row_key")).distinct()
     # Repeated rows go before the join, so that many of them never meet in one task.
-    return docs.withColumn("_row_key", row_key()).dropDuplicates(["_row_key"]).join(chosen, "_row_key", "left_semi").drop("_row_key")
+    return keyed(docs).dropDuplicates(["_row_key"]).join(chosen, "_row_key", "left_semi").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that the contamination rule marks, whatever their ids; others with the same id stay."""
     found = bench.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     marked = found.where(bench.is_contaminated()).select(F.col("k").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", row_key()).join(marked, "_row_key", "left_anti").drop("_row_key")
+    return keyed(docs).join(marked, "_row_key", "left_anti").select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -398,3 +398,56 @@ def test_rare_languages_are_learned(spark):
     assert model[0] == sorted(words_of)
     judged = language.detect(docs.where("lang <> 'q'"), *model).collect()
     assert len(judged) == 30 and all(r.lang_pred == r.lang for r in judged)
+
+
+def test_stages_leave_clashing_columns_alone(spark, edge_dir):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+    from casewise.llm.mixing import mixed_documents
+
+    names = ["_source", "_size", "_copy", "_copies", "_row_key", "row", "_row", "_target", "_draw"]
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce("text", F.lit("none"))) for n in names})
+    kept = p.benchmark_decontamination(spark, p.near_duplicates(spark, docs, edge_dir), edge_dir)
+    for found in (mixed_documents(docs), kept):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r[n] == f"{n} {'none' if r['text'] is None else r['text']}" for r in rows for n in names)
+
+
+def test_sketches_of_long_and_disjoint_texts(spark):
+    from pyspark.sql import functions as F
+
+    from casewise.llm import sketch
+
+    def lines(tag, n):
+        return "\n".join(f"{tag} line {i}" for i in range(n))
+
+    pairs = [
+        ("same", lines("a", 900), lines("a", 900)),
+        ("one more", lines("a", 900), lines("a", 901)),
+        ("all", lines("a", 700), lines("b", 2500)),
+        ("half", lines("a", 300), lines("a", 150) + "\n" + lines("c", 40)),
+        ("none", "", ""),
+        ("from none", "", lines("d", 30)),
+    ]
+    df = spark.createDataFrame(pairs, "name string, x string, y string").select("name", *[sketch.digests(F.col(c)).alias(c) for c in "xy"])
+    df = df.withColumns({f"{c}s": sketch.sketch(F.col(c)) for c in "xy"})
+    df = df.withColumn("found", sketch.differences(F.col("x"), F.col("y"), sketch.subtract(F.col("xs"), F.col("ys"))))
+    for r in df.select("name", "x", "y", "found", sketch.held(F.col("ys")).alias("n")).collect():
+        assert sorted(r.found) == sorted(set(r.x) ^ set(r.y)), r.name
+        assert r.n == len(r.y)
+
+
+def test_successors_in_order_of_repeated_and_null_ids(spark):
+    from casewise.llm import sketch
+
+    values = [(None, f"null {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(40)] + [(i, f"doc {i}") for i in range(0, 90, 3)]
+    values += [(5, "again")] * 30
+    docs = spark.createDataFrame(values, "doc_id long, _text string").selectExpr("doc_id", "xxhash64(doc_id, _text) AS _k", "_text")
+    want = sorted({(r.doc_id, r._k, r._text) for r in docs.collect()}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows, repeated = sketch.with_next(docs)
+    after = {w[1]: want[(i + 1) % len(want)][2] for i, w in enumerate(want)}
+    assert {r._k: r._next for r in rows.collect()} == after and rows.count() == len(want)
+    assert [r._times for r in repeated.collect()] == [30]
