@@ -384,6 +384,32 @@ def test_sweep_equals_plain_fits(spark, monkeypatch):
     assert value[3, "silhouette"] > 0.9
 
 
+def test_sweep_looks_in_single_precision_where_it_decides(spark, monkeypatch):
+    from casewise.operators import sweep
+
+    rng = np.random.default_rng(2)
+    x = 1e6 + rng.normal(size=(3000, 5)) * [1, 2, 3, 1e-3, 1]
+    centers = np.concatenate([x[:40], x[:40], x[:40] + 1e-7])  # equal centres and centres closer than single precision tells
+    look = sweep.Scaled(x.mean(axis=0), float(x.std()))
+    looked = []
+    plain = sweep.nearest
+    monkeypatch.setattr(sweep, "nearest", lambda rows, c: looked.append(len(rows)) or plain(rows, c))
+    assert (look.nearest(x, look.rows(x), centers, look.centers(centers)) == plain(x, centers)[0]).all()
+    few = x[:40]
+    looked.clear()
+    assert (look.nearest(x, look.rows(x), few, look.centers(few)) == plain(x, few)[0]).all()
+    assert sum(looked) < 300
+
+
+def test_sweep_deals_rows_of_one_file_over_the_cores(spark):
+    from casewise.operators import sweep
+
+    df = spark.createDataFrame([(float(i),) for i in range(20_000)], "a double").coalesce(1)
+    blocks = sweep.packed_rows(df, ["a"])
+    sizes = blocks.rdd.mapPartitions(lambda part: [sum(r["n"] for r in part)]).collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 20_000 and max(sizes) <= 4 * sweep.BLOCK_ROWS
+
+
 def test_sweep_of_few_and_no_rows(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (None,)], "a double")
     models, table = clusters.kmeans_sweep(df, ["a"], ks=(2, 5), restarts=2, max_iter=5)
