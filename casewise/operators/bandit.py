@@ -16,6 +16,8 @@ from casewise.functions.draws import betas, normals
 
 # Larger clusters are fitted from sums made in parallel instead of in one task.
 GROUP_ROWS = 200_000
+# Rows a task gathers before it hands them on as one block per cluster.
+PACK_ROWS = 65_536
 # Largest model (numbers in all coefficient and covariance arrays) sent to every task.
 MODEL_NUMBERS = 1_000_000
 
@@ -207,13 +209,42 @@ def fit_logit_by_group(
     small = rows if not large else rows.filter(~F.col("cluster").isin(large))
     models = small.groupBy("cluster").applyInPandas(fit_cluster, f"cluster {kind}, {_MODEL}")
     if large:
-        big = _fit_large(rows.filter(F.col("cluster").isin(large)), large, ys, design, size, ridge, steps, tol)
+        big = _fit_large(rows.filter(F.col("cluster").isin(large)), large, ys, names, size, ridge, steps, tol)
         models = models.unionByName(df.sparkSession.createDataFrame(big, models.schema))
     return models.withColumnRenamed("cluster", cluster)
 
 
-def _fit_large(rows: DataFrame, large: list, ys: Mapping[str, str], design, size: int, ridge: float, steps: int, tol: float) -> list[dict]:
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+def _packed_clusters(rows: DataFrame, names: Sequence[str], rewards: Sequence[str]) -> DataFrame:
+    """``cluster, x, y``: blocks of rows of one cluster as doubles, with a 1 before the x; y is NaN outside a reward's arms."""
+    cols = [*names, *rewards]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def blocks() -> pd.DataFrame:
+            found = {c: np.concatenate(parts) for c, parts in held.items()}
+            ones = {c: np.column_stack([np.ones(len(v)), v[:, : len(names)]]) for c, v in found.items()}
+            y = [np.ascontiguousarray(v[:, len(names) :].T).tobytes() for v in found.values()]
+            return pd.DataFrame({"cluster": list(found), "x": [v.tobytes() for v in ones.values()], "y": y})
+
+        count = 0
+        for batch in batches:
+            values = batch[cols].to_numpy(dtype=float)
+            for c, where in batch.groupby("cluster").indices.items():
+                held.setdefault(c, []).append(values[where])
+            count += len(batch)
+            if count >= PACK_ROWS:
+                yield blocks()
+                held, count = {}, 0
+        if held:
+            yield blocks()
+
+    return rows.mapInPandas(pack, f"cluster {dict(rows.dtypes)['cluster']}, x binary, y binary")
+
+
+def _fit_large(rows: DataFrame, large: list, ys: Mapping[str, str], names: Sequence[str], size: int, ridge: float, steps: int, tol: float) -> list[dict]:
+    # Packed and grouped once; every Newton step reads the blocks only.
+    rows = _packed_clusters(rows, names, list(ys.values())).persist(StorageLevel.MEMORY_AND_DISK)
     upper = np.triu_indices(size)
     fits = {(c, r): _Newton(size, ridge, steps, tol) for c in large for r in ys}
     totals: dict = {}
@@ -226,12 +257,11 @@ def _fit_large(rows: DataFrame, large: list, ys: Mapping[str, str], design, size
             def reduce(batches: Iterator[pd.DataFrame], open_=open_) -> Iterator[pd.DataFrame]:
                 sums: dict = {}
                 for batch in batches:
-                    for c, part in batch.groupby("cluster"):
-                        x = design(part)
-                        for reward, y_name in ys.items():
+                    for c, raw, answers in zip(batch["cluster"], batch["x"], batch["y"]):
+                        x = np.frombuffer(raw).reshape(-1, size)
+                        for reward, y in zip(ys, np.frombuffer(answers).reshape(len(ys), -1)):
                             if (c, reward) not in open_:
                                 continue
-                            y = part[y_name].to_numpy(dtype=float)
                             known = ~np.isnan(y)
                             if not known.any():
                                 continue

@@ -457,6 +457,22 @@ def models_of(df, **options):
     return {(r["cluster"], r["reward"]): r for r in fitted.collect()}
 
 
+def test_large_clusters_are_packed_once(spark, cases, monkeypatch):
+    monkeypatch.setattr(bandit, "PACK_ROWS", 50)
+    pdf, df = cases
+    arms = {f"y{i}": F.when(F.col("arm").isin(REWARDS[r]), F.col(r).cast("double")) for i, r in enumerate(REWARDS)}
+    blocks = bandit._packed_clusters(df.withColumns(arms), ["a", "b", "c"], list(arms)).collect()
+    assert {b["cluster"] for b in blocks} == {0, 1, 2, 3}
+    for c, part in pdf.groupby("cluster"):
+        x = np.concatenate([np.frombuffer(b["x"]).reshape(-1, 4) for b in blocks if b["cluster"] == c])
+        y = np.concatenate([np.frombuffer(b["y"]).reshape(2, -1) for b in blocks if b["cluster"] == c], axis=1)
+        order, expected = np.lexsort(x.T), part[["a", "b", "c"]].to_numpy()
+        mine = np.lexsort(np.column_stack([np.ones(len(part)), expected]).T)
+        assert (x[order, 1:] == expected[mine]).all() and (x[:, 0] == 1).all()
+        wanted = np.where(part["arm"].isin(REWARDS["r2"]), part["r2"], np.nan)[mine]
+        np.testing.assert_array_equal(y[1][order], wanted)
+
+
 def test_logit_models(cases):
     pdf, df = cases
     small, large = models_of(df), models_of(df, group_rows=1)
