@@ -66,14 +66,14 @@ registered AS (SELECT DISTINCT entity_id, e.created_at, e.registry_no, (d.regist
   WHERE is_completed = 1 AND e.created_at BETWEEN DATE '{LO}' AND DATE '{HI}')"""
 
 
-def registered(t: Tables) -> DataFrame:
-    return registry_enrich(s.entities(t), s.members(t), s.registry(t), LO, HI)
+def registered(t: Tables, *keep: str) -> DataFrame:
+    return registry_enrich(s.entities(t), s.members(t), s.registry(t), LO, HI, keep)
 
 
 @query(f"""
 WITH {_REGISTERED} SELECT DISTINCT entity_id, registry_no, registry_hit, company_postcode, registry_status AS status, structure_level FROM registered""")
 def registry_documents(t: Tables) -> DataFrame:
-    found = registered(t)
+    found = registered(t, "company_postcode", "registry_status", "structure_level")
     return found.select(
         "entity_id", "registry_no", "registry_hit", "company_postcode", F.col("registry_status").alias("status"), "structure_level"
     ).distinct()
@@ -88,7 +88,7 @@ FROM code LEFT JOIN hit USING (entity_id, c)""")
 def registry_postcode_levels(t: Tables) -> DataFrame:
     size = (2 + F.col("p_partkey") % 4).cast("int")
     lookup = t.part.groupBy(F.substring("p_brand", F.lit(1), size).alias("code")).agg(F.max("p_type").alias("level"))
-    graded = postcode_level(registered(t), "company_postcode", lookup, "level")
+    graded = postcode_level(registered(t, "company_postcode"), "company_postcode", lookup, "level")
     return graded.select("entity_id", outward_code("company_postcode").getField("value").alias("c"), "level").distinct().select("entity_id", "level")
 
 
@@ -102,7 +102,7 @@ SELECT DISTINCT entity_id, CASE WHEN p_size % 4 + 1 >= 3 THEN '3+' WHEN p_size I
 FROM born""")
 def officer_features(t: Tables) -> DataFrame:
     levels = t.region.select(F.concat(F.lit("N"), F.col("r_regionkey").cast("string")).alias("code"), F.lit("High").alias("level"))
-    rows = people_enrich(registered(t), documents(t), levels)
+    rows = people_enrich(registered(t, "directors_tree", "structure_level"), documents(t), levels)
     return rows.select(
         "entity_id",
         F.col("company_directors_count").alias("officers"),

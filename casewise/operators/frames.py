@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from casewise.operators.ordered import exact_quantiles, quantile_table
 
@@ -144,6 +145,15 @@ def left_join_filtered(
     return left.join(renamed, condition, "left").drop("_on")
 
 
+def left_join_spread(left: DataFrame, right: DataFrame, on: str, right_on: str) -> DataFrame:
+    """Left join on ``on == right_on`` that spreads the rows without a key over all tasks; ``right_on`` stays."""
+    plain = [f"`{f.name}`" for f in left.schema if isinstance(f.dataType, AtomicType) and f.name != on]
+    spread = left.withColumn("_spread", F.when(F.col(on).isNull(), F.xxhash64(*plain)).otherwise(0) if plain else F.lit(0).cast("long"))
+    # Always 0, but no literal: the planner would take that out of the keys that rows are dealt by.
+    joined = spread.join(right.withColumn("_zero", F.pmod(F.xxhash64(right_on), F.lit(1).cast("long"))), (F.col(on) == F.col(right_on)) & (F.col("_spread") == F.col("_zero")), "left")
+    return joined.drop("_spread", "_zero")
+
+
 def sample_rows(df: DataFrame, fraction: float, key: str | None = None, seed: int = 42) -> DataFrame:
     """A row sample; with ``key`` the choice depends on the key only, not on partitions."""
     if key is None:

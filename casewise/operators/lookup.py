@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewise.operators.frames import left_join_spread
+
 
 def map_codes_join(
     df: DataFrame, col: str, lookup: DataFrame, out: str, default: str | None = None, keep_input: bool = False
@@ -51,7 +53,7 @@ def prefix_lookup(
         .groupBy("_text")
         .agg(F.max_by("level", F.length("_prefix")).alias("_level"))
     )
-    joined = df.join(best, F.col(col) == F.col("_text"), "left")
+    joined = left_join_spread(df, best, col, "_text")
     value = F.coalesce(F.col("_level"), F.lit(default))
     if error is not None:
         value = F.when(F.col(error).isNotNull(), F.lit(invalid)).otherwise(value)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.functions import name_score, worst_in_array
+from casewise.operators.frames import left_join_spread
 
 
 def match_person(people: str, first: str, last: str, born: str, threshold: int = 90) -> Column:
@@ -43,5 +44,5 @@ def nationality_levels_join(df: DataFrame, nationalities: str, countries: DataFr
         .agg(F.min(F.when(F.col("level") == "High", 1).when(F.col("level") == "Medium", 2).when(F.col("level") == "Low", 3)).alias("_n"))
     )
     label = F.when(F.col("_n") == 1, "High").when(F.col("_n") == 2, "Medium").when(F.col("_n") == 3, "Low")
-    joined = df.join(worst, F.col(nationalities) == F.col("_key"), "left")
+    joined = left_join_spread(df, worst, nationalities, "_key")
     return joined.withColumn(out, F.coalesce(label, F.lit("Undefined"))).drop("_key", "_n")

@@ -25,7 +25,7 @@ from casewise.functions import (
     worst_level,
     year_boundaries,
 )
-from casewise.operators.frames import drop_missing, fill_median, left_join_filtered
+from casewise.operators.frames import drop_missing, fill_median, left_join_filtered, left_join_spread
 from casewise.operators.lookup import prefix_lookup
 from casewise.operators.people import match_person, nationality_levels_join
 from casewise.operators.rules import apply_rules, fail_flag, group_triggers, summarize_rules
@@ -233,10 +233,11 @@ def clean_expiry(df: DataFrame, **options) -> DataFrame:
     return fill_median(clipped, ["years_to_id_expiry"], **options)
 
 
-def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame, lo, hi) -> DataFrame:
+def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame, lo, hi, keep: Sequence[str] | None = None) -> DataFrame:
     """Entities created in [lo, hi] with the first registry payload of their company number.
 
-    Documents are parsed once, and the first per number is chosen before the join.
+    Documents are parsed once, and the first per number is chosen before the join. ``keep`` names the document columns
+    wanted; first documents of a number that are equal in them join once.
     """
     parsed = registry.select(F.from_json("json_col", REGISTRY).alias("doc")).select(
         F.col("doc.data.companyNumber").alias("_number"),
@@ -251,14 +252,15 @@ def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame
     first = first_per_key(parsed.filter(F.col("_number").isNotNull()), "_number", "registry_created_at")
     done = members.filter(F.col("is_completed") == 1).select("member_id")
     rows = entities.filter(on_days("created_at", lo, hi)).join(done, "member_id")
-    joined = rows.join(first, F.col("registry_no") == F.col("_number"), "left")
+    kept = [c for c in parsed.columns if c != "_number" and (keep is None or c in keep)]
+    joined = left_join_spread(rows, first.select("_number", *kept).distinct(), "registry_no", "_number")
     return joined.select(
         "entity_id",
         "member_id",
         "created_at",
         "registry_no",
         F.col("_number").isNotNull().cast("int").alias("registry_hit"),
-        *[c for c in parsed.columns if c != "_number"],
+        *kept,
     ).distinct()
 
 

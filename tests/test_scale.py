@@ -119,3 +119,35 @@ def test_query_parameters_and_column_names(spark, table):
     assert normalize_columns(spine.toDF("svc__A", "svc__B"), "__").columns == ["a", "b"]
     with pytest.raises(ValueError):
         normalize_columns(spine.toDF("x.a", "y.A"))
+
+
+def test_rows_without_a_key_are_spread_by_the_left_join(spark):
+    from casewise.operators.frames import left_join_spread
+
+    left = spark.createDataFrame([(i, None if i % 10 else i) for i in range(4000)] + [(4000, 0)], "id long, k long")
+    right = spark.createDataFrame([(0, "a"), (10, "b"), (10, "c"), (None, "d")], "r long, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_join_spread(left, right, "k", "r")
+        sizes = joined.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(sizes) == 4002 and max(sizes) < 1500
+        plain = left.join(right, left["k"] == right["r"], "left")
+        assert joined.columns == plain.columns and joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_equal_registry_documents_join_once(spark):
+    from casewise.plans.features import registry_enrich
+
+    entities = spark.createDataFrame([(f"e{i}", f"m{i}", "2000-01-02", "7" if i else None) for i in range(3)], "entity_id string, member_id string, created_at string, registry_no string").withColumn("created_at", F.col("created_at").cast("date"))
+    members = spark.createDataFrame([(f"m{i}", 1) for i in range(3)], "member_id string, is_completed int")
+    doc = '{{"data": {{"companyNumber": "7", "address": {{"postcode": "P{}"}}, "directorsTree": [{{"officerId": "{}"}}]}}, "metadata": {{"created_at": "2000-01-01 00:00:00"}}}}'
+    registry = spark.createDataFrame([(doc.format(i % 2, i),) for i in range(50)], "json_col string")
+    every = registry_enrich(entities, members, registry, "2000-01-01", "2000-12-31")
+    some = registry_enrich(entities, members, registry, "2000-01-01", "2000-12-31", ["company_postcode"])
+    assert every.count() == 101 and some.count() == 5
+    names = ["entity_id", "registry_no", "registry_hit", "company_postcode"]
+    assert sorted(map(str, every.select(names).distinct().collect())) == sorted(map(str, some.select(names).collect()))
