@@ -17,7 +17,7 @@ from casewise.functions import (
     on_days,
     within_days,
 )
-from casewise.operators.frames import unpivot_refs
+from casewise.operators.frames import left_join_spread, unpivot_refs
 from casewise.operators.temporal import dedupe, latest_per_key
 
 
@@ -210,9 +210,10 @@ def fraud_labels(
     )
     # The parent's type comes from any project; only the case itself must be of this one.
     parents = tickets.select(F.col("ticket_key").alias("_parent"), F.col("fraud_type").alias("_parent_type"))
+    # Most cases have no parent; they must not meet in one task.
     named = (
-        cases.join(refs, "ticket_key")
-        .join(parents, F.col("parent_key") == F.col("_parent"), "left")
+        left_join_spread(cases, parents, "parent_key", "_parent")
+        .join(refs, "ticket_key")
         .select(
             F.coalesce("parent_key", "ticket_key").alias("ticket_key"),
             F.when(F.col("parent_key").isNull(), F.col("fraud_type")).otherwise(F.col("_parent_type")).alias("fraud_type"),
