@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,137 +33,174 @@ END = 1
 BITS = 20
 LOW = 1 << 31
 BLOCK = 1 << 16
-CHARS = 1_000_000
-CACHE = 1_000_000
-MARKS = ".,;:!?"
+CHARS = 4_000_000  # bytes of text a task encodes at once
+CACHE = 600_000  # runs a task remembers
+MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
 PLAIN_END, SPECIAL = "\u0250", "\u0130"  # Latin letters keep to one letter each in lower case and NFC, but for one
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "[\x1c-\x1f]"
 # Patterns of pre-tokenizers whose matches hold no white space and do not look at it.
 WITHOUT_SPACE = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 HEAD = "<4sIIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
 
 
-def by_runs(tokenizer) -> bool:
-    """Whether the ids of a text are those of its runs between white space: the pre-tokenizer keeps no white space, its
-    patterns look at none, and no added token holds or borders on any."""
-    state = json.loads(tokenizer.to_str())
+def by_runs(state: dict) -> bool:
+    """Whether the ids of a text are those of its runs between white space, in either case: the normalizer lower-cases, the
+    pre-tokenizer keeps no white space, its patterns look at none, and no added token holds or borders on any or begins
+    with a letter."""
     steps = (state["pre_tokenizer"] or {}).get("pretokenizers", [])
     first = steps[0] if steps else {}
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"].get("Regex") in WITHOUT_SPACE
     plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]] for t in state["added_tokens"])
-    return bool(drops and plain and added)
-
-
-def encoded(tokenizer, split: bool, texts: list[str], store: dict[str, bytes], kind: str = "<u4") -> list[bytes]:
-    """Ids of each text as bytes; ``store`` keeps those of runs between white space, and of words, for the next call."""
-
-    def apart(some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-
-    if not split:
-        return apart(texts)
-    # Separators that are white space to Python but not to the pre-tokenizer stay for the library.
-    runs = [[text] if SEPARATORS.search(text) else text.split() for text in texts]
-    if len(store) > CACHE:
-        store.clear()
-    new = set().union(*runs).difference(store)
-    # A word with marks behind it is two pre-tokens: letters never join with the marks.
-    heads = {}
-    for run in new:
-        head = run.rstrip(MARKS)
-        if head.isascii():
-            if head.isalpha():
-                heads[run] = head.lower()
-        elif head.isalpha() and max(head) < PLAIN_END and SPECIAL not in head:
-            heads[run] = head
-    words = list(set(heads.values()).difference(store))
-    for first in range(0, len(words), 2000):
-        some = words[first : first + 2000]
-        store.update(zip(some, words_encoded(tokenizer, some, kind) or apart(some)))
-    rest = list({run[len(head) :] for run, head in heads.items()}.union(new.difference(heads)).difference(store, [""]))
-    store.update(zip(rest, apart(rest)))
-    for run, head in heads.items():
-        if len(run) > len(head):
-            store[run] = store[head] + store[run[len(head) :]]
-        elif run != head:
-            store[run] = store[head]
-    return [b"".join(map(store.__getitem__, some)) for some in runs]
-
-
-def words_encoded(tokenizer, words: list[str], kind: str) -> list[bytes] | None:
-    """Ids of words of letters, encoded as one text and cut behind the pieces that end a word; None if a word has several ends."""
-    ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, kind)
-    cuts = ((np.flatnonzero(ends_word(tokenizer)[ids]) + 1) * ids.itemsize).tolist()
-    flat = ids.tobytes()
-    return [flat[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(words) else None
-
-
-@lru_cache(maxsize=1)
-def ends_word(tokenizer) -> np.ndarray:
-    out = np.zeros(tokenizer.get_vocab_size(), bool)
-    for piece, i in tokenizer.get_vocab().items():
-        out[i] = piece.endswith("</w>")
-    return out
+    normal = [s["type"] for s in (state["normalizer"] or {}).get("normalizers", [])]
+    lowers = "Lowercase" in normal and set(normal) <= {"NFC", "Replace", "Lowercase"}
+    added = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"][:1].isalpha()) and t["content"].split() == [t["content"]]
+        for t in state["added_tokens"]
+    )
+    return bool(drops and plain and lowers and added)
 
 
-def id_type(path: str | None = None) -> str:
+def tokenizer_file(path: str | None) -> str:
     import public_tokenizers
+
+    return path or public_tokenizers.path("word_bpe_49k.json")
+
+
+@lru_cache(maxsize=8)
+def tokenizer_facts(path: str | None = None) -> tuple[str, bool, np.ndarray]:
+    """What tasks need to know of a tokenizer, found out once on the driver: the type of its ids, two bytes if its vocabulary
+    allows it, else four; :func:`by_runs`; and which pieces end a word."""
     from tokenizers import Tokenizer
 
-    return "<u2" if Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json")).get_vocab_size() <= 1 << 16 else "<u4"
+    tokenizer = Tokenizer.from_file(tokenizer_file(path))
+    size = tokenizer.get_vocab_size()
+    ends = np.zeros(size, bool)
+    for piece, i in tokenizer.get_vocab().items():
+        if i < size:
+            ends[i] = piece.endswith("</w>")
+    return "<u2" if size <= 1 << 16 else "<u4", by_runs(json.loads(tokenizer.to_str())), ends
 
 
-def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """``doc_id, ids`` (little-endian, the end id last); null is the empty text.
+def id_type(path: str | None = None) -> str:
+    return tokenizer_facts(path)[0]
 
-    Ids take two bytes if the vocabulary allows it, else four. The library encodes each distinct run of a text between
-    white space once per task and the runs' ids are joined, where its pre-tokenizer drops white space (:func:`by_runs`).
-    """
-    kind = id_type(path)
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Encoder:
+    """Ids of texts. The library encodes each distinct run between white space once, where ``split`` allows it; numbers of
+    runs are counted and ids put together in arrays, and the ids of runs and of words are kept for the next texts."""
+
+    def __init__(self, tokenizer, kind: str, split: bool, ends: np.ndarray):
+        self.tokenizer, self.kind, self.split, self.ends = tokenizer, kind, split, ends
+        self.store: dict[str, bytes] = {"": b""}
+
+    def apart(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and cut behind the pieces that end a word, unless a word has several ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(words) else self.apart(words)
+
+    def learn(self, new: list[str]) -> None:
+        # A word with marks behind it is two pre-tokens: letters never join with the marks.
+        store, heads = self.store, {}
+        for run in new:
+            head = run.rstrip(MARKS)
+            if head.isalpha() and (head.isascii() or (max(head) < PLAIN_END and SPECIAL not in head)):
+                heads[run] = head.lower()
+        words = list(set(heads.values()).difference(store))
+        for first in range(0, len(words), 500):
+            some = words[first : first + 500]
+            store.update(zip(some, self.words(some)))
+        rest = list({run[len(head) :] for run, head in heads.items()}.union(run for run in new if run not in heads).difference(store))
+        store.update(zip(rest, self.apart(rest)))
+        for run, head in heads.items():
+            if len(run) > len(head):
+                store[run] = store[head] + store[run[len(head) :]]
+            elif run != head:
+                store[run] = store[head]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's."""
+        if not self.split:
+            runs = pa.array([[text] for text in texts.to_pylist()], pa.list_(pa.string()))
+        elif pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
+            # Separators that are white space to Python and Arrow but not to the pre-tokenizer stay for the library.
+            separated = re.compile(SEPARATORS)
+            runs = pa.array([[text] if separated.search(text) else text.split() for text in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            runs = pc.utf8_split_whitespace(texts)
+        cells = runs.flatten().dictionary_encode()
+        distinct = cells.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.split:
+            if len(self.store) > CACHE:
+                self.store = {"": b""}
+            new = [run for run in distinct if run not in self.store]
+            if new:
+                self.learn(new)
+            found = [self.store[run] for run in distinct]
+        else:
+            found = self.apart(distinct)
+        pool = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // pool.itemsize
+        at = cells.indices.to_numpy()
+        n = sizes[at]
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - done[:-1], n) + np.arange(done[-1])]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy())])
+        return ids, np.diff(done[ends])
+
+
+def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
+    """``doc_id, ids`` (little-endian of :func:`id_type`, the end id last); null is the empty text."""
+    kind, split, ends = tokenizer_facts(path)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        split = by_runs(tokenizer)
-        store: dict[str, bytes] = {}
-        last = np.array([end], kind).tobytes()
-        for frame in frames:
-            out, held, chars = [], [], 0
-            for text in frame["text"]:
-                held.append(text)
-                chars += len(text)
-                if chars >= CHARS:
-                    out += encoded(tokenizer, split, held, store, kind)
-                    held, chars = [], 0
-            out += encoded(tokenizer, split, held, store, kind)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [ids + last for ids in out]})
-
-    return docs.select(F.col("doc_id").cast("string"), body().alias("text")).mapInPandas(encode, "doc_id string, ids binary").select(
-        F.col("doc_id").cast("long"), "ids"
-    )
+        encoder = Encoder(Tokenizer.from_file(tokenizer_file(path)), kind, split, ends)
+        for batch in batches:
+            # A part begins with each text that starts in another piece of CHARS bytes.
+            size = pc.binary_length(batch.column(1)).to_numpy()
+            piece = (np.cumsum(size, dtype=np.int64) - size) // CHARS
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(size)]):
+                part = batch.slice(a, b - a)
+                ids, n = encoder.encode(part.column(1))
+                whole = np.full(len(ids) + len(n), end, kind)
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                cuts = (np.concatenate([[0], np.cumsum(n + 1)]) * whole.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
 
 def token_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for frame in frames:
-            got = np.bincount(np.frombuffer(b"".join(frame["ids"]), kind))
+        for batch in batches:
+            column = batch.column(0)
+            if not len(column):
+                continue
+            # The ids of all rows lie in one buffer.
+            cuts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            got = np.bincount(np.frombuffer(column.buffers()[2], kind, (cuts[-1] - cuts[0]) // np.dtype(kind).itemsize, cuts[0]))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
             else:
                 total[: len(got)] += got
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at.astype("int64"), "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def quantised(counts: np.ndarray, bits: int = BITS) -> np.ndarray:

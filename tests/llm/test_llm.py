@@ -1,10 +1,13 @@
 """Results against plain Python over whole small tables, and odd inputs."""
 
+import collections
 import hashlib
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +144,67 @@ def test_token_file(spark, queries, folder):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found), key=lambda r: r[1]) == want
 
 
+def test_encoder_gives_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    from casewise.llm.rans import Encoder, tokenizer_facts, tokenizer_file
+
+    tokenizer = Tokenizer.from_file(tokenizer_file(None))
+    texts = ["Über-all, überall&&&; word### it's'S <|endoftext|>.", "", "  ", "<|startoftext|>a <|endoftext|>", "A\x1cB c\x85d", "İstanbul é.é", "ab." * 3, "12!? x²"]
+    texts += [f"Wort{chr(c)}. {chr(c)}&&& ab{chr(c)}c" for c in range(0x3100) if not 0x1C <= c < 0x20]
+    for split in (True, False):
+        encoder = Encoder(tokenizer, "<u2", split and tokenizer_facts()[1], tokenizer_facts()[2])
+        for some in (texts, texts[::-1], ["\x1d a.\x1e b", *texts]):  # known runs, and separators that stay for the library
+            ids, n = encoder.encode(pa.array(["left out", *some], pa.string()).slice(1))
+            assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == tokenizer.encode(some[0], add_special_tokens=False).ids
+            want = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            assert ids.tolist() == [i for one in want for i in one] and n.tolist() == [*map(len, want)]
+    # Words with marks of any kind behind them are looked up by their letters: a new mark brings no new word.
+    assert set(encoder_words(["Haus", "haus&&&", "HAUS***", "haus."], tokenizer)) == {"haus"}
+
+
+def encoder_words(texts, tokenizer):
+    from casewise.llm.rans import Encoder, tokenizer_facts
+
+    asked = []
+
+    class Counted(Encoder):
+        def words(self, words):
+            asked.extend(words)
+            return super().words(words)
+
+    Counted(tokenizer, *tokenizer_facts()).encode(pa.array(texts))
+    return asked
+
+
+def test_tokens_of_many_parts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from casewise.llm import rans
+
+    monkeypatch.setattr(rans, "CHARS", 40)
+    monkeypatch.setattr(rans, "CACHE", 5)
+    rows = [(i, None if i % 7 == 0 else "Some words, " * (i % 11) + f"w{i}***") for i in range(60)]
+    found = rans.tokenized(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    tokenizer = Tokenizer.from_file(rans.tokenizer_file(None))
+    want = {i: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1] for i, text in rows}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in found} == want
+    counts = {r.id: r.n for r in rans.token_counts(rans.tokenized(spark.createDataFrame(rows, "doc_id long, text string")), "<u2").collect()}
+    assert counts == dict(collections.Counter(i for ids in want.values() for i in ids))
+
+
+def test_no_tokenizer_outlives_its_task():
+    """A tokenizer held by a cache of the module stays in the worker until Python happens to collect cycles."""
+    from tokenizers import Tokenizer
+
+    from casewise.llm import rans
+
+    tokenizer = Tokenizer.from_file(rans.tokenizer_file(None))
+    held = sys.getrefcount(tokenizer)
+    rans.Encoder(tokenizer, *rans.tokenizer_facts()).encode(pa.array(["some words"]))
+    assert sys.getrefcount(tokenizer) == held
+
+
 def test_coder_round_trip_and_damage():
     from casewise.llm.rans import Coder, quantised
 
