@@ -19,6 +19,10 @@ from casewise.operators.ordered import average_ranks, running_totals, slice_edge
 # Up to here one aggregate holds all pairs in generated code; beyond it each task sums
 # its own D x D block in NumPy and Spark adds the blocks.
 NATIVE_COLUMNS = 12
+# Ranks of columns with few distinct values go to every task, up to this many numbers in all.
+SHARED_RANKS = 200_000
+# Up to this many other columns the rows meet their ranks column by column, beyond it as one long table.
+JOINED_COLUMNS = 2
 
 
 def _number(c: str) -> Column:
@@ -204,36 +208,72 @@ def masked_spearman(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
 
     Each distinct value of a column counts, for every other column, its rows that have that one too; running totals
     of these counts are the value's ranks in all pairs at once. Ranks then go back to the (distinct) rows, where each
-    task sums its products per pair. The number of jobs does not depend on the number of columns.
+    task sums its products per pair. The number of jobs does not depend on the number of columns. Ranks of columns
+    with few values are sent to the rows, so that only columns with many values move them.
     """
     d = len(cols)
     numbers = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
     values = [f"v{i}" for i in range(d)]
-    edges = slice_edges(numbers, values, **options)
     has = [F.col(v).isNotNull().cast("long") for v in values]
-    long = F.inline(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).alias("value")) for v in values]))
-    counted = numbers.select(long, *[h.alias(f"h{j}") for j, h in enumerate(has)]).filter(F.col("value").isNotNull())
+    found = numbers.agg(
+        F.array(*[F.sum(has[i] * has[j]) for i in range(d) for j in range(d)]), F.array(*[F.approx_count_distinct(v) for v in values])
+    ).first()
+    middle = (np.array([n or 0 for n in found[0]], dtype=float).reshape(d, d) + 1) / 2
+    few, room = [], SHARED_RANKS
+    for n, v in sorted(zip(found[1], values)):
+        room -= n * d
+        if room >= 0:
+            few.append(v)
+    many = [v for v in values if v not in few]
+    if len(many) > JOINED_COLUMNS:
+        few, many = [], values
+    edges = slice_edges(numbers, many, **options) if many else {}
     names = [f"n{j}" for j in range(d)]
-    totals = running_totals(counted, "value", {n: F.sum(f"h{j}") for j, n in enumerate(names)}, edges, feature="feature")
-    ranks = totals.select("feature", "value", F.array(*[F.col(f"cum_{n}") - F.col(n) / 2 + 0.5 for n in names]).alias("rank"))
-
-    # Equal rows are one row with a weight, known by two hashes of all their cells.
-    cells = [*values, *[F.isnull(v) for v in values]]
-    rows = numbers.groupBy(*values).agg(F.count("*").alias("w")).select("*", F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"))
-    placed = rows.select("a", "b", "w", long).filter(F.col("value").isNotNull()).join(ranks, ["feature", "value"])
-    again = placed.groupBy("a", "b").agg(F.first("w").alias("w"), F.collect_list(F.struct(F.substring("feature", 2, 9).cast("int").alias("i"), "rank")).alias("r"))
-    sizes = numbers.agg(*[F.sum(has[i] * has[j]) for i in range(d) for j in range(d)]).first()
-    middle = (np.array([n or 0 for n in sizes], dtype=float).reshape(d, d) + 1) / 2
+    ranked = F.array(*[F.col(f"cum_{n}") - F.col(n) / 2 + 0.5 for n in names]).alias("rank")
+
+    def long(of: Sequence[str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).alias("value")) for v in of]))
+
+    def ranks(of: Sequence[str], edges: dict) -> DataFrame:
+        counted = numbers.select(long(of), *[h.alias(f"h{j}") for j, h in enumerate(has)])
+        totals = running_totals(counted, "value", {n: F.sum(f"h{j}") for j, n in enumerate(names)}, edges, feature="feature")
+        return totals.select("feature", "value", ranked)
+
+    if len(many) <= JOINED_COLUMNS:
+        # Equal rows are one row with a weight, so that a frequent value moves once per combination.
+        of = numbers.groupBy(*values).agg(F.count("*").alias("w")) if many else numbers.withColumn("w", F.lit(1))
+        if few:
+            known = ranks(few, {}).toPandas()  # about SHARED_RANKS numbers
+            for v in few:
+                table = known.loc[known["feature"] == v, ["value", "rank"]].assign(rank=lambda t: t["rank"].map(list))
+                shared = df.sparkSession.createDataFrame(table, f"_{v} double, r{v[1:]} array<double>")
+                of = of.join(F.broadcast(shared), F.col(v) == F.col(f"_{v}"), "left").drop(f"_{v}")
+        for v in many:
+            own = ranks([v], {v: edges[v]}).select(F.col("value").alias(f"_{v}"), F.col("rank").alias(f"r{v[1:]}"))
+            there = of.filter(F.col(v).isNotNull()).join(own, F.col(v) == F.col(f"_{v}")).drop(f"_{v}")
+            # Rows without a value have no rank: they never meet in one task.
+            of = there.unionByName(of.filter(F.col(v).isNull()).withColumn(f"r{v[1:]}", F.lit(None).cast("array<double>")))
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"r{i}").alias("rank")) for i in range(d)])
+        again = of
+        if d > NATIVE_COLUMNS:
+            again = of.select("w", F.filter(cells, lambda cell: cell.getField("rank").isNotNull()).alias("r")).filter(F.size("r") > 0)
+    else:
+        # Equal rows are one row with a weight, known by two hashes of all their cells.
+        cells = [*values, *[F.isnull(v) for v in values]]
+        rows = numbers.groupBy(*values).agg(F.count("*").alias("w")).select("*", F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"))
+        placed = rows.select("a", "b", "w", long(values)).filter(F.col("value").isNotNull()).join(ranks(values, edges), ["feature", "value"])
+        again = placed.groupBy("a", "b").agg(F.first("w").alias("w"), F.collect_list(F.struct(F.substring("feature", 2, 9).cast("int").alias("i"), "rank")).alias("r"))
+        if d <= NATIVE_COLUMNS:
+            again = again.select("w", *[F.get(F.filter("r", _of_column(at)), F.lit(0)).getField("rank").alias(f"r{at}") for at in range(d)])
     i, j = np.triu_indices(d)
     if d <= NATIVE_COLUMNS:
-        of = again.select("w", *[F.get(F.filter("r", _of_column(at)), F.lit(0)).getField("rank").alias(f"r{at}") for at in range(d)])
 
         def rank(a: int, b: int) -> Column:
             return F.when(F.col(f"r{b}").isNotNull(), F.get(f"r{a}", F.lit(b)) - float(middle[a, b]))
 
         cells = [F.struct(F.lit(int(a)).alias("i"), F.lit(int(b)).alias("j"), *[F.sum(F.col("w") * x * y).alias(n) for n, x, y in (
             ("ab", rank(a, b), rank(b, a)), ("aa", rank(a, b), rank(a, b)), ("bb", rank(b, a), rank(b, a)))]) for a, b in zip(i, j)]
-        return _named(of.agg(F.array(*cells).alias("c")).select(F.inline("c")), cols, _rank_correlation().alias("r"))
+        return _named(again.agg(F.array(*cells).alias("c")).select(F.inline("c")), cols, _rank_correlation().alias("r"))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both, square = np.zeros((d, d)), np.zeros((d, d))

@@ -649,6 +649,27 @@ def test_spearman_of_many_columns_with_nulls(spark):
         np.testing.assert_allclose(matrix, expected, atol=1e-9)
 
 
+@pytest.mark.parametrize("native, shared, joined", [(12, 200_000, 2), (1, 200_000, 2), (12, 60, 2), (1, 0, 0)])
+def test_ranks_with_nulls_agree_however_they_reach_the_rows(spark, monkeypatch, native, shared, joined):
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"few": rng.integers(0, 5, 400) * 1.0, "some": rng.integers(0, 9, 400) * 1.0, "many": rng.normal(size=400)})
+    data["also"] = np.round(data["many"] + rng.normal(size=400), 2)
+    data = data.mask(rng.random(data.shape) < 0.3)
+    data = pd.concat([data, data[:90]], ignore_index=True)
+    df = spark.createDataFrame(data).replace(float("nan"), None)
+    monkeypatch.setattr(stats, "NATIVE_COLUMNS", native)
+    monkeypatch.setattr(stats, "SHARED_RANKS", shared)
+    monkeypatch.setattr(stats, "JOINED_COLUMNS", joined)
+    found = stats.to_matrix(stats.spearman(df, list(data), one_task=50, slices=7), list(data))
+    np.testing.assert_allclose(found, data.corr("spearman").to_numpy(), atol=1e-9)
+
+
+def test_ranks_of_few_values_leave_the_rows_in_place(spark):
+    df = spark.range(1000).selectExpr("if(id % 7 = 0, null, id % 5) * 1D AS a", "id % 11 * 1D AS b", "if(id % 3 = 0, null, id % 4) * 1D AS c")
+    text = stats.spearman(df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
 def _exact_mic(x, y, alpha):
     """Every way of cutting one axis into runs of values, the other in equal frequency."""
     from itertools import combinations
