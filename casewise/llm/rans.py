@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,12 +35,15 @@ BITS = 20
 LOW = 1 << 31
 BLOCK = 1 << 16
 CHARS = 4_000_000  # bytes of text a task encodes at once
-CACHE = 600_000  # runs a task remembers
+CACHE = 600_000  # words and other runs a task remembers
+AT_ONCE = 250  # words the library encodes as one text
 MARKS = "".join(sorted(set(string.punctuation) - {"'"}))
-PLAIN_END, SPECIAL = "\u0250", "\u0130"  # Latin letters keep to one letter each in lower case and NFC, but for one
+# Latin letters keep to one letter each in lower case and NFC, but for U+0130.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c != "\u0130")
 SEPARATORS = "[\x1c-\x1f]"
 # Patterns of pre-tokenizers whose matches hold no white space and do not look at it.
 WITHOUT_SPACE = {"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+ARROW = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
 HEAD = "<4sIIIII"
 HEAD_SIZE = struct.calcsize(HEAD)
 
@@ -86,42 +90,86 @@ def id_type(path: str | None = None) -> str:
     return tokenizer_facts(path)[0]
 
 
-class Encoder:
-    """Ids of texts. The library encodes each distinct run between white space once, where ``split`` allows it; numbers of
-    runs are counted and ids put together in arrays, and the ids of runs and of words are kept for the next texts."""
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
-    def __init__(self, tokenizer, kind: str, split: bool, ends: np.ndarray):
-        self.tokenizer, self.kind, self.split, self.ends = tokenizer, kind, split, ends
-        self.store: dict[str, bytes] = {"": b""}
 
-    def apart(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def in_a_row(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a pool one behind the other, and where each begins, the end last."""
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    return pool[np.repeat(starts - done[:-1], sizes) + np.arange(done[-1])], done
+
+
+class Encoder:
+    """Ids of texts. The library encodes each distinct run between white space once, where ``split`` allows it; runs are counted,
+    cut into letters and marks, and their ids put together in arrays, and the ids of words and other runs are kept for the next texts."""
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded as one text and cut behind the pieces that end a word, unless a word has several ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(words) else self.apart(words)
+    def __init__(self, tokenizer, kind: str, split: bool, ends: np.ndarray):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def learn(self, new: list[str]) -> None:
+        self.tokenizer, self.kind, self.split, self.ends = tokenizer, kind, split, ends
+        self.forget()
+        if split:
+            # The same model for lower-case words of plain letters, which the normalizer leaves as they are and the patterns whole.
+            self.spaced = Tokenizer(tokenizer.model)
+            steps = json.loads(tokenizer.pre_tokenizer.__getstate__())["pretokenizers"][1:]
+            bytes_of = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False) for _ in steps]
+            self.spaced.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *bytes_of])
+
+    def forget(self) -> None:
+        """Known cells are numbered; their ids lie in a row in ``pool``."""
+        self.store: dict[str, int] = {}
+        self.pool, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, sizes.sum()), sizes
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of plain letters, encoded as one text and cut behind the pieces that end a word, unless a word has several ends."""
+        ids = np.array(self.spaced.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) and cuts[-1] == len(ids) else self.apart(words)
+
+    def known(self, cells: list[str], words: np.ndarray) -> np.ndarray:
+        """Numbers of distinct cells; new ones are learned, as words where ``words`` says so."""
+        numbers = list(map(self.store.get, cells))
+        new = [i for i, number in enumerate(numbers) if number is None]
+        if new:
+            new = [i for i in new if words[i]] + (rest := [i for i in new if not words[i]])
+            asked = [cells[i] for i in new]
+            n_words = len(new) - len(rest)
+            parts = [self.words(asked[a : min(a + AT_ONCE, n_words)]) for a in range(0, n_words, AT_ONCE)] + [self.apart(asked[n_words:])]
+            first = len(self.sizes)
+            self.pool = np.concatenate([self.pool, *[ids for ids, _ in parts]])
+            self.sizes = np.concatenate([self.sizes, *[sizes for _, sizes in parts]])
+            self.store.update(zip(asked, range(first, len(self.sizes))))
+            for number, i in enumerate(new, first):
+                numbers[i] = number
+        return np.array(numbers, np.int64)
+
+    def of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs in a row, and the number of each run's."""
         # A word with marks behind it is two pre-tokens: letters never join with the marks.
-        store, heads = self.store, {}
-        for run in new:
-            head = run.rstrip(MARKS)
-            if head.isalpha() and (head.isascii() or (max(head) < PLAIN_END and SPECIAL not in head)):
-                heads[run] = head.lower()
-        words = list(set(heads.values()).difference(store))
-        for first in range(0, len(words), 500):
-            some = words[first : first + 500]
-            store.update(zip(some, self.words(some)))
-        rest = list({run[len(head) :] for run, head in heads.items()}.union(run for run in new if run not in heads).difference(store))
-        store.update(zip(rest, self.apart(rest)))
-        for run, head in heads.items():
-            if len(run) > len(head):
-                store[run] = store[head] + store[run[len(head) :]]
-            elif run != head:
-                store[run] = store[head]
+        marks = pc.utf8_ltrim(runs, characters=LETTERS)
+        size, tail = pc.binary_length(runs).to_numpy(), pc.binary_length(marks).to_numpy()
+        plain = (tail < size) & (pc.binary_length(pc.utf8_rtrim(marks, characters=MARKS)).to_numpy() == 0)
+        is_plain = pa.array(plain)
+        heads = pc.if_else(is_plain, pc.utf8_lower(pc.utf8_rtrim(runs, characters=MARKS)), runs).dictionary_encode()
+        tails = pc.if_else(is_plain, marks, "").dictionary_encode()
+        head, tail = heads.indices.to_numpy(), tails.indices.to_numpy()
+        words = np.zeros(len(heads.dictionary), bool)
+        words[head] = plain  # other runs are no plain letters, so no cell is both
+        if len(self.store) > CACHE:
+            self.forget()
+        # Each run is its head and its tail.
+        head = self.known(strings(heads.dictionary), words)[head]
+        tail = self.known(strings(tails.dictionary), np.zeros(len(tails.dictionary), bool))[tail]
+        at = np.column_stack([head, tail]).ravel()
+        ids, _ = in_a_row(self.pool, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at])
+        return ids, self.sizes[head] + self.sizes[tail]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's."""
@@ -134,22 +182,9 @@ class Encoder:
         else:
             runs = pc.utf8_split_whitespace(texts)
         cells = runs.flatten().dictionary_encode()
-        distinct = cells.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.split:
-            if len(self.store) > CACHE:
-                self.store = {"": b""}
-            new = [run for run in distinct if run not in self.store]
-            if new:
-                self.learn(new)
-            found = [self.store[run] for run in distinct]
-        else:
-            found = self.apart(distinct)
-        pool = np.frombuffer(b"".join(found), self.kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // pool.itemsize
+        pool, sizes = self.of_runs(cells.dictionary) if self.split else self.apart(strings(cells.dictionary))
         at = cells.indices.to_numpy()
-        n = sizes[at]
-        done = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - done[:-1], n) + np.arange(done[-1])]
+        ids, done = in_a_row(pool, (np.cumsum(sizes) - sizes)[at], sizes[at])
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy())])
         return ids, np.diff(done[ends])
 
@@ -222,7 +257,7 @@ class Coder:
         self.bits, self.ids = np.uint64(bits), ids.astype(np.uint32)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.slot = np.repeat(np.arange(len(ids)), freq)
+        self.slot = np.repeat(np.arange(len(ids), dtype=np.int32), freq)
         self.rank = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
         self.rank[ids] = np.arange(len(ids))
 
@@ -230,15 +265,20 @@ class Coder:
         n = len(tokens)
         lanes = max(1, min(1024, n // 64))
         ranks = self.rank[tokens]
+        freq, start = self.freq.take(ranks), self.start.take(ranks)
+        limit, rest = freq << (np.uint64(63) - self.bits), (np.uint64(1) << self.bits) - freq
         state = np.full(lanes, LOW, np.uint64)
         words = []
         for at in range((n - 1) // lanes * lanes, -1, -lanes):
-            some = ranks[at : at + lanes]
-            f, x = self.freq[some], state[: len(some)]
-            full = x >= (f << (np.uint64(63) - self.bits))
-            words.append(x[full].astype("<u4"))
-            x = np.where(full, x >> np.uint64(32), x)
-            state[: len(some)] = ((x // f) << self.bits) + x % f + self.start[some]
+            f = freq[at : at + lanes]
+            x = state[: len(f)]
+            full = np.flatnonzero(x >= limit[at : at + lanes])
+            out = x[full]
+            words.append(out.astype("<u4"))
+            x[full] = out >> np.uint64(32)
+            # (x // f << bits) + x % f + start
+            x += x // f * rest[at : at + lanes]
+            x += start[at : at + lanes]
         flat = np.concatenate(words[::-1])
         rest = state.astype("<u8").tobytes() + flat.tobytes()
         check = zlib.crc32(tokens.astype("<u4").tobytes())
@@ -255,13 +295,15 @@ class Coder:
         for at in range(0, n, lanes):
             x = state[: min(lanes, n - at)]
             slot = x & mask
-            rank = self.slot[slot.astype(np.int64)]
-            x = self.freq[rank] * (x >> self.bits) + slot - self.start[rank]
-            thin = x < LOW
-            take = int(thin.sum())
+            rank = self.slot.take(slot.view(np.int64)).astype(np.int64)
+            x >>= self.bits
+            x *= self.freq.take(rank)
+            x += slot
+            x -= self.start.take(rank)
+            thin = np.flatnonzero(x < LOW)
+            take = len(thin)
             x[thin] = (x[thin] << np.uint64(32)) | words[used : used + take]
             used += take
-            state[: len(x)] = x
             out[at : at + len(x)] = rank
         tokens = self.ids[out]
         if zlib.crc32(tokens.astype("<u4").tobytes()) != check:
@@ -323,8 +365,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     raw.getFileSystem(spark._jsc.hadoopConfiguration()).delete(raw, True)
 
 
-def _pieces(spark: SparkSession, folder: str, fields: str, piece) -> tuple[DataFrame, DataFrame]:
-    """Documents with their first token in the whole file, and the decoded pieces that their blocks hold of them."""
+def _pieces(spark: SparkSession, folder: str, fields: dict[str, str], piece) -> tuple[DataFrame, DataFrame]:
+    """Documents with their first token in the whole file, and ``fields`` of the decoded pieces that their blocks hold of them."""
     packed = spark.read.parquet(f"{folder}/packed")
     rows = spark.read.parquet(f"{folder}/table").orderBy("id").toPandas()
     shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["freq"].to_numpy()))
@@ -335,21 +377,33 @@ def _pieces(spark: SparkSession, folder: str, fields: str, piece) -> tuple[DataF
     )
     # A document's pieces: one row for each block that holds some of its ids.
     last = F.floor((F.col("first") + F.col("n_tokens") - 1) / BLOCK)
+    kinds = [ARROW[kind] for kind in fields.values()]
     cut = heads.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)))
     wanted = cut.groupBy("shard", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "first", "n_tokens"))).alias("docs"))
     blocks = packed.where("payload is not null").select("shard", F.col("seq").alias("block"), "payload")
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value)
-        for frame in frames:
-            for row in frame.itertuples():
-                tokens = coder.decode(row.payload).astype("<u4")
-                first = np.asarray(row.firsts) - row.block * BLOCK
-                cuts = zip(np.maximum(first, 0), np.minimum(first + np.asarray(row.sizes), len(tokens)))
-                yield pd.DataFrame({"shard": row.shard, "block": row.block, "seq": row.seqs, **piece([tokens[a:b].tobytes() for a, b in cuts])})
+        for batch in batches:
+            shards, numbers, payloads = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "block", "payload"))
+            seqs, firsts, sizes = (batch.column(c) for c in ("seqs", "firsts", "sizes"))
+            n, found = pc.list_value_length(seqs).to_numpy(), []
+            seqs, firsts, sizes = (column.flatten().to_numpy() for column in (seqs, firsts, sizes))
+            ends = np.cumsum(n)
+            for number, payload, a, b in zip(numbers.tolist(), payloads, ends - n, ends):
+                tokens = coder.decode(payload).astype("<u4")
+                at = firsts[a:b] - number * BLOCK
+                cuts = zip(np.maximum(at, 0).tolist(), np.minimum(at + sizes[a:b], len(tokens)).tolist())
+                found += [piece(tokens[x:y].tobytes()) for x, y in cuts]
+            values = [pa.array(column, kind) for column, kind in zip(zip(*found), kinds)] if found else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(shards, n), pa.int32()), pa.array(np.repeat(numbers, n), pa.int64()), pa.array(seqs, pa.int64()), *values],
+                names=["shard", "block", "seq", *fields],
+            )
 
     lists = [F.col("docs.seq").alias("seqs"), F.col("docs.first").alias("firsts"), F.col("docs.n_tokens").alias("sizes")]
-    parts = blocks.join(wanted.select("shard", "block", *lists), ["shard", "block"]).mapInPandas(unpack, f"shard int, block long, seq long, {fields}")
+    schema = ", ".join(["shard int, block long, seq long", *(f"{name} {kind}" for name, kind in fields.items())])
+    parts = blocks.join(wanted.select("shard", "block", *lists), ["shard", "block"]).mapInArrow(unpack, schema)
     placed = heads.join(bases, "shard").select("shard", "seq", "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens")
     return placed, parts
 
@@ -359,7 +413,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     Null ids come first and keep their place; an empty text has its end id alone; equal ids are in the order they were written.
     """
-    placed, parts = _pieces(spark, folder, "part binary", lambda found: {"part": found})
+    placed, parts = _pieces(spark, folder, {"part": "binary"}, lambda part: (part,))
     whole = parts.groupBy("shard", "seq").agg(F.sort_array(F.collect_list(F.struct("block", "part"))).alias("_p"))
     ids = F.aggregate("_p", F.lit(b""), lambda a, p: F.concat(a, p.part))
     return placed.join(whole, ["shard", "seq"]).select(*placed.columns, ids.alias("ids"))
@@ -367,8 +421,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def joined_crc(pieces: list) -> int:
     """crc32 of byte strings in a row from ``(crc32, length)`` of each: crc32 is linear but for its start."""
-    total = 0
-    for crc, size in pieces:
+    total = pieces[0][0]
+    for crc, size in pieces[1:]:
         zeros = bytes(size)
         total = zlib.crc32(zeros, total) ^ zlib.crc32(zeros) ^ crc
     return total
@@ -377,13 +431,13 @@ def joined_crc(pieces: list) -> int:
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """``shard, seq, doc_id, start, n_tokens, ids_crc32`` as :func:`read` decodes them; ids stay in the tasks, only checksums of pieces travel."""
 
-    def piece(found: list[bytes]) -> dict:
-        return {"crc": [zlib.crc32(b) for b in found], "size": [len(b) for b in found]}
+    def piece(part: bytes) -> tuple[int, int]:
+        return zlib.crc32(part), len(part)
 
     @F.pandas_udf("long")
     def joined(lists: pd.Series) -> pd.Series:
         return pd.Series([joined_crc([(p["crc"], p["size"]) for p in some]) for some in lists], dtype="int64")
 
-    placed, parts = _pieces(spark, folder, "crc long, size int", piece)
+    placed, parts = _pieces(spark, folder, {"crc": "long", "size": "int"}, piece)
     whole = parts.groupBy("shard", "seq").agg(F.sort_array(F.collect_list(F.struct("block", "crc", "size"))).alias("_p"))
     return placed.join(whole, ["shard", "seq"]).select(*placed.columns, joined("_p").alias("ids_crc32"))

@@ -177,6 +177,23 @@ def encoder_words(texts, tokenizer):
     return asked
 
 
+def test_a_known_word_in_any_case_and_marks_is_one_entry():
+    """Runs are cut into words and marks before they are looked up, so that each word is kept and looked up once."""
+    from tokenizers import Tokenizer
+
+    from casewise.llm.rans import Encoder, tokenizer_facts, tokenizer_file
+
+    tokenizer = Tokenizer.from_file(tokenizer_file(None))
+    encoder = Encoder(tokenizer, *tokenizer_facts())
+    texts = [word + marks for word in ("Straße", "straße", "STRAßE", "Haus", "haus") for marks in ("", ".", "!?", "***")]
+    ids, n = encoder.encode(pa.array(texts))
+    assert np.split(ids, np.cumsum(n)[:-1])[7].tolist() == tokenizer.encode(texts[7], add_special_tokens=False).ids
+    assert set(encoder.store) == {"straße", "haus", "", ".", "!?", "***"}
+    for none in ([], ["", " "]):
+        ids, n = encoder.encode(pa.array(none, pa.string()))
+        assert not len(ids) and n.tolist() == [0] * len(none)
+
+
 def test_tokens_of_many_parts(spark, monkeypatch):
     from tokenizers import Tokenizer
 
