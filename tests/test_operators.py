@@ -702,3 +702,22 @@ def test_mic_is_the_best_over_all_cuts(spark):
         assert got[1][name] == pytest.approx(_exact_mic(values, y, 0.95), abs=1e-4), name
     assert got[1]["one"] == 0.0
     assert information.mic(df.where("false"), "y", ["x"]).collect() == []
+
+
+def test_kmeans_persists_its_vectors_itself(spark, monkeypatch):
+    """From a persisted frame KMeans would decode every vector again in each step; columns are persisted once for all starts."""
+    from casewise.operators import clusters
+
+    seen = []
+
+    class Watched(clusters.KMeans):
+        def fit(self, frame):
+            level = frame.storageLevel
+            seen.append((level.useMemory or level.useDisk, "InMemoryRelation" in frame._jdf.queryExecution().withCachedData().toString()))
+            return super().fit(frame)
+
+    monkeypatch.setattr(clusters, "KMeans", Watched)
+    df = spark.createDataFrame([(float(i % 2 * 10 + i % 3), float(i % 5)) for i in range(60)], "a double, b double")
+    model = clusters.fit_kmeans(df, ["a", "b"], 2, restarts=3)
+    assert seen == [(False, True)] * 3
+    assert sorted(round(c[0]) for c in clusters.centers_of(model)) == [1, 11]
