@@ -401,6 +401,45 @@ def test_sweep_looks_in_single_precision_where_it_decides(spark, monkeypatch):
     assert sum(looked) < 300
 
 
+def test_sweep_looks_again_at_rows_whose_bounds_meet_only(monkeypatch):
+    from casewise.operators import sweep
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 6)) + 5
+    x = np.concatenate([x, x[:50], 5 * x[:3]])  # rows that come twice, and some far off
+    look, looked = sweep.Scaled(x.mean(axis=0), float(np.sqrt(x.var(axis=0).sum()))), []
+    plain = sweep.Scaled.look
+    monkeypatch.setattr(sweep.Scaled, "look", lambda self, rows, *rest: looked.append(len(rows)) or plain(self, rows, *rest))
+    centers, rows, kept, far = np.concatenate([x[:40], x[:2], x[-1:]]), look.rows(x), None, None
+    for _ in range(30):
+        looked.append(0)
+        model = sweep.Moved(look, centers, far)
+        kept = model.first(x, rows) if kept is None else model.next(x, rows, kept)
+        near, square = sweep.nearest(x, centers)
+        assert (kept[0] == near).all() and (kept[1] * look.scale * (1 + 1e-6) >= np.sqrt(square)).all()
+        others = ((x[:, None] - centers[None]) ** 2).sum(axis=-1)
+        others[np.arange(len(x)), near] = np.inf
+        assert (kept[2] * look.scale * (1 - 1e-6) <= np.sqrt(others.min(axis=1))).all()
+        moved = np.array([x[near == j].mean(axis=0) if (near == j).any() else centers[j] for j in range(len(centers))])
+        far, centers = np.sqrt(((moved - centers) ** 2).sum(axis=1)), moved
+    assert looked[:2] == [0, len(x)] and sum(looked[2:]) < 20 * len(x) and looked[-1] < len(x) / 2
+
+
+def test_sweep_begins_new_chains(spark, monkeypatch):
+    from casewise.operators import sweep
+
+    monkeypatch.setattr(sweep, "CHAIN", 3)
+    monkeypatch.setattr(sweep, "BLOCK_ROWS", 50)
+    x = np.random.default_rng(4).normal(size=(500, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).repartition(4)
+    models, steps = sweep.fit_all(df, ["a", "b", "c"], [4, 9], 2, 12, 42)
+    begun = sweep.starts(df, ["a", "b", "c"], 9, 2, 42)
+    for k in (4, 9):
+        centers, _ = min((plain_lloyd(x, begun[r][:k], 12) for r in range(2)), key=lambda f: f[1])
+        np.testing.assert_allclose(models[k], centers, atol=1e-9)
+    assert 3 < max(steps.values()) <= 12 and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_sweep_deals_rows_of_one_file_over_the_cores(spark):
     from casewise.operators import sweep
 
