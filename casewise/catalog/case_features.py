@@ -9,11 +9,13 @@ from casewise.catalog import standins as s
 from casewise.catalog.registry import Tables, query
 from casewise.functions import outward_code
 from casewise.plans.features import (
+    applicants,
     application_rules,
     clean_expiry,
     combine_levels,
     document_features,
     feature_set,
+    graded_people,
     people_enrich,
     postcode_level,
     registry_enrich,
@@ -66,8 +68,8 @@ registered AS (SELECT DISTINCT entity_id, e.created_at, e.registry_no, (d.regist
   WHERE is_completed = 1 AND e.created_at BETWEEN DATE '{LO}' AND DATE '{HI}')"""
 
 
-def registered(t: Tables, *keep: str) -> DataFrame:
-    return registry_enrich(s.entities(t), s.members(t), s.registry(t), LO, HI, keep)
+def registered(t: Tables, *keep: str, **before) -> DataFrame:
+    return registry_enrich(s.entities(t), s.members(t), s.registry(t), LO, HI, keep, **before)
 
 
 @query(f"""
@@ -102,7 +104,10 @@ SELECT DISTINCT entity_id, CASE WHEN p_size % 4 + 1 >= 3 THEN '3+' WHEN p_size I
 FROM born""")
 def officer_features(t: Tables) -> DataFrame:
     levels = t.region.select(F.concat(F.lit("N"), F.col("r_regionkey").cast("string")).alias("code"), F.lit("High").alias("level"))
-    rows = people_enrich(registered(t, "directors_tree", "structure_level"), documents(t), levels)
+    found = registered(
+        t, "directors_tree", "structure_level", prepare=lambda docs: graded_people(docs, levels), beside=applicants(documents(t))
+    )
+    rows = people_enrich(found, None, levels)
     return rows.select(
         "entity_id",
         F.col("company_directors_count").alias("officers"),

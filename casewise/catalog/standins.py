@@ -177,7 +177,8 @@ def users(t: Tables) -> DataFrame:
 def registry(t: Tables) -> DataFrame:
     """Registry documents; every 13th part gives a broken one, which SQL leaves out."""
     p, size = F.col("p_partkey"), F.col("p_size")
-    joined = t.part.join(t.supplier, F.col("s_suppkey") == p % 100)
+    # Making and parsing a document costs far more than moving its row; files may be few.
+    joined = t.part.join(t.supplier, F.col("s_suppkey") == p % 100).repartition(t.spark.sparkContext.defaultParallelism)
     hours = F.expr("timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(0, CAST(p_partkey % 97 AS INT))")
     born = F.date_add(F.lit("1950-01-01").cast("date"), (p % 9000).cast("int"))
     person = F.struct(

@@ -11,8 +11,8 @@ from casewise.functions import name_score, worst_in_array
 from casewise.operators.frames import left_join_spread
 
 
-def match_person(people: str, first: str, last: str, born: str, threshold: int = 90) -> Column:
-    """Nationalities of the first officer born in the applicant's month and year whose
+def match_person(people: str, first: str, last: str, born: str, threshold: int = 90, field: str = "nationalities") -> Column:
+    """Nationalities (or another ``field``) of the first officer born in the applicant's month and year whose
     first and last name both score ``threshold`` or more; NULL without one.
 
     Officers of a row are compared with that row's applicant only, inside the row.
@@ -20,12 +20,13 @@ def match_person(people: str, first: str, last: str, born: str, threshold: int =
     birthday = F.col(born).cast("date")
 
     def fits(p: Column) -> Column:
-        same_month = F.trunc(p["born"], "month") == F.trunc(birthday, "month")
+        # No NULL: that would have the names compared.
+        same_month = F.coalesce(F.trunc(p["born"], "month") == F.trunc(birthday, "month"), F.lit(False))
         return same_month & (name_score(p["first"], F.lower(first)) >= threshold) & (
             name_score(p["last"], F.lower(last)) >= threshold
         )
 
-    return F.get(F.filter(F.col(people), fits), F.lit(0)).getField("nationalities")
+    return F.get(F.filter(F.col(people), fits), F.lit(0)).getField(field)
 
 
 def nationality_level(nationalities: Column, countries: Mapping[str, str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,11 +233,15 @@ def clean_expiry(df: DataFrame, **options) -> DataFrame:
     return fill_median(clipped, ["years_to_id_expiry"], **options)
 
 
-def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame, lo, hi, keep: Sequence[str] | None = None) -> DataFrame:
+def registry_enrich(
+    entities: DataFrame, members: DataFrame, registry: DataFrame, lo, hi, keep: Sequence[str] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, beside: DataFrame | None = None,
+) -> DataFrame:
     """Entities created in [lo, hi] with the first registry payload of their company number.
 
     Documents are parsed once, and the first per number is chosen before the join. ``keep`` names the document columns
-    wanted; first documents of a number that are equal in them join once.
+    wanted; first documents of a number that are equal in them, or in what ``prepare`` makes of them, join once. An entity
+    may meet many first documents: what is known per document or, with ``beside``, per ``entity_id`` is best joined before.
     """
     parsed = registry.select(F.from_json("json_col", REGISTRY).alias("doc")).select(
         F.col("doc.data.companyNumber").alias("_number"),
@@ -253,15 +257,18 @@ def registry_enrich(entities: DataFrame, members: DataFrame, registry: DataFrame
     done = members.filter(F.col("is_completed") == 1).select("member_id")
     rows = entities.filter(on_days("created_at", lo, hi)).join(done, "member_id")
     kept = [c for c in parsed.columns if c != "_number" and (keep is None or c in keep)]
-    joined = left_join_spread(rows, first.select("_number", *kept).distinct(), "registry_no", "_number")
+    found = first.select("_number", *kept).distinct()
+    if prepare is not None:
+        found = prepare(found).distinct()
+    # Both sides are distinct, so their pairs are.
+    rows = rows.select("entity_id", "member_id", "created_at", "registry_no")
+    rows = (rows if beside is None else rows.join(beside, "entity_id")).distinct()
+    joined = left_join_spread(rows, found, "registry_no", "_number")
     return joined.select(
-        "entity_id",
-        "member_id",
-        "created_at",
-        "registry_no",
+        *rows.columns,
         F.col("_number").isNotNull().cast("int").alias("registry_hit"),
-        *kept,
-    ).distinct()
+        *[c for c in found.columns if c != "_number"],
+    )
 
 
 def postcode_level(df: DataFrame, col: str, levels: DataFrame, out: str) -> DataFrame:
@@ -271,19 +278,46 @@ def postcode_level(df: DataFrame, col: str, levels: DataFrame, out: str) -> Data
     return prefix_lookup(split, "_code", levels, out, error="_error").drop("_code", "_error")
 
 
-def people_enrich(registry_rows: DataFrame, documents: DataFrame, countries: DataFrame, threshold: int = 90, first_only: bool = False) -> DataFrame:
+def graded_people(df: DataFrame, countries: DataFrame) -> DataFrame:
+    """Replace ``directors_tree`` by its officers: names, month of birth and worst level of their nationalities.
+
+    Equal texts are parsed and graded once. A text without officers gets NULL.
+    """
+    texts = df.select(F.col("directors_tree").alias("_text")).distinct()  # unfiltered, so that Spark reads ``df`` once
+    officers = texts.select("_text", F.posexplode(parse_people("_text")).alias("_at", "_one")).select(
+        "_text", "_at", "_one.first", "_one.last", F.trunc("_one.born", "month").alias("born"), F.col("_one.nationalities").alias("_nations")
+    )
+    graded = nationality_levels_join(officers, "_nations", countries, "level")
+    lists = graded.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("_at", "first", "last", "born", "level"))).alias("people"))
+    lists = lists.withColumn("people", F.transform("people", lambda p: F.struct(*[p[c].alias(c) for c in ("first", "last", "born", "level")])))
+    return left_join_spread(df, lists, "directors_tree", "_text").drop("directors_tree", "_text")
+
+
+def applicants(documents: DataFrame) -> DataFrame:
+    """Who applied and when, as :func:`people_enrich` compares them with officers."""
+    return documents.select("entity_id", F.col("created_at").alias("applied_at"), "id_first_name", "id_last_name", "date_of_birth").distinct()
+
+
+def people_enrich(
+    registry_rows: DataFrame, documents: DataFrame | None, countries: DataFrame, threshold: int = 90, first_only: bool = False
+) -> DataFrame:
     """Per entity: level of the matched officer's nationalities, mean officer age, officer
-    count band and structure level band."""
-    rows = registry_rows.select(
-        "entity_id", parse_people("directors_tree").alias("people"), "structure_level"
-    ).join(documents.select("entity_id", "created_at", "id_first_name", "id_last_name", "date_of_birth"), "entity_id")
-    matched = rows.withColumn("_nations", match_person("people", "id_first_name", "id_last_name", "date_of_birth", threshold))
-    graded = nationality_levels_join(matched, "_nations", countries, "applicant_dd_nationality")
+    count band and structure level band.
+
+    Rows may come with :func:`graded_people` and, if ``documents`` is None, with their :func:`applicants` already. Then
+    nothing is joined to the pairs of entities and documents any more.
+    """
+    rows = registry_rows if "people" in registry_rows.columns else graded_people(registry_rows, countries)
+    if documents is not None:
+        rows = rows.select("entity_id", "people", "structure_level").join(
+            documents.select("entity_id", F.col("created_at").alias("applied_at"), "id_first_name", "id_last_name", "date_of_birth"), "entity_id"
+        )
+    found = match_person("people", "id_first_name", "id_last_name", "date_of_birth", threshold, "level")
     level = F.col("structure_level")
-    return graded.select(
+    return rows.select(
         "entity_id",
-        "applicant_dd_nationality",
-        mean_age("people", "created_at", "date_of_birth", first_only).alias("directors_avg_age_at_completion"),
+        F.coalesce(found, F.lit("Undefined")).alias("applicant_dd_nationality"),
+        mean_age("people", "applied_at", "date_of_birth", first_only).alias("directors_avg_age_at_completion"),
         count_band(F.when(F.size("people") > 0, F.size("people"))).alias("company_directors_count"),
         F.when(level.isNull(), "Undefined").when(level.isin("1", "2"), level).otherwise("3+").alias("company_structurelevelwise"),
     )

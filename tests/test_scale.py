@@ -3,6 +3,8 @@ reach the scan; sources and sinks keep what they are given."""
 
 from __future__ import annotations
 
+import datetime
+import json
 import re
 
 import numpy as np
@@ -151,3 +153,38 @@ def test_equal_registry_documents_join_once(spark):
     assert every.count() == 101 and some.count() == 5
     names = ["entity_id", "registry_no", "registry_hit", "company_postcode"]
     assert sorted(map(str, every.select(names).distinct().collect())) == sorted(map(str, some.select(names).collect()))
+
+
+def test_officers_are_read_before_entities_meet_documents(spark):
+    from casewise.plans.features import applicants, graded_people, people_enrich, registry_enrich
+
+    def doc(number, officers):
+        people = [
+            {"officerId": str(i), "person": {"firstName": first, "lastName": "Lee", "dateOfBirth": born, "nationalities": nations}}
+            for i, (first, born, nations) in enumerate(officers)
+        ]
+        data = {"companyNumber": number, "address": {}, "structureLevelWise": {"1": "2"}, "directorsTree": json.dumps(people)}
+        return (json.dumps({"data": data, "metadata": {"created_at": "2020-01-01 00:00:00"}}),)
+
+    day = datetime.date(2000, 5, 5)
+    entities = spark.createDataFrame([("e1", "m1", day, "1"), ("e1", "m1", day, "1"), ("e2", "m2", day, None), ("e3", "m3", day, "2")], "entity_id string, member_id string, created_at date, registry_no string")
+    members = spark.createDataFrame([("m1", 1), ("m2", 1), ("m3", 1)], "member_id string, is_completed int")
+    registry = spark.createDataFrame(
+        [doc("1", [("Ann", "1960-04-03", ["A", "B"])]), doc("1", [("Ann", "1960-04-20", ["A", "B"])]), doc("1", [("Bob", "1960-04-03", ["A"]), ("Ann", "1970-01-01", ["B"])]), doc("2", []), doc("2", [("Ann", "x", ["A"])])],
+        "json_col string",
+    )
+    documents = spark.createDataFrame([("e1", day, "Ann", "Lee", datetime.date(1960, 4, 9)), ("e1", day, "Bo", "Lu", None), ("e2", day, "Ann", "Lee", None), ("e3", day, "A", "B", datetime.date(1980, 1, 1))], "entity_id string, created_at date, id_first_name string, id_last_name string, date_of_birth date")
+    countries = spark.createDataFrame([("A", "Low"), ("B", "High")], "code string, level string")
+    range_ = ("2000-01-01", "2000-12-31", ["directors_tree", "structure_level"])
+    late = people_enrich(registry_enrich(entities, members, registry, *range_), documents, countries)
+    found = registry_enrich(entities, members, registry, *range_, prepare=lambda docs: graded_people(docs, countries), beside=applicants(documents))
+    early = people_enrich(found, None, countries)
+    rows = {tuple(r) for r in early.collect()}
+    assert rows == {tuple(r) for r in late.collect()} == {
+        ("e1", "High", 40, "1", "2"),
+        ("e1", "Undefined", 40, "1", "2"),
+        ("e1", "Undefined", 35, "2", "2"),
+        ("e2", "Undefined", None, "Undefined", "Undefined"),
+        ("e3", "Undefined", 20, "Undefined", "2"),
+    }
+    assert found.where("entity_id = 'e1'").count() == 4  # documents whose officers differ in the day of birth only meet entities once
